@@ -28,10 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from millrace.llm.textwords import string_bytes
+
 #: Words kept by a Python worker; the memory they take is bounded by this.
 CACHE_WORDS = 500_000
-#: Characters of text that one slice of an Arrow batch may hold (a longer text is a slice of its own).
-SLICE_CHARS = 2_000_000
+#: Bytes of text that one slice of an Arrow batch may hold.
+SLICE_BYTES = 2_000_000
 _NOT_WHITE = regex.compile("[\x1c-\x1f]").search
 _END = 0x1000  # added to the code point of a unit that ends a word
 
@@ -268,17 +270,14 @@ def _encoder(shared) -> Encoder:
     return _here[key]
 
 
-def slices(texts: pa.Array, chars: int = SLICE_CHARS):
-    """(first, last) row ranges whose texts hold about so many characters each."""
-    sizes = np.nan_to_num(np.array(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.float64))
-    first, total = 0, 0.0
-    for k, x in enumerate(sizes):
-        if k > first and total + x > chars:
-            yield first, k
-            first, total = k, 0.0
-        total += x
-    if first < len(sizes):
-        yield first, len(sizes)
+def slices(texts: pa.Array, size: int = SLICE_BYTES):
+    """(first, last) row ranges whose texts hold about ``size`` bytes; a longer text is a range of its own."""
+    _, ends = string_bytes(texts)
+    first = 0
+    while first < len(texts):
+        last = min(len(texts), max(first + 1, int(np.searchsorted(ends, ends[first] + size, side="right")) - 1))
+        yield first, last
+        first = last
 
 
 def encode_column(df: DataFrame, tables: BpeTables, text: str = "text", keep: tuple[str, ...] = ("doc_id",), raw: bool = False) -> DataFrame:
