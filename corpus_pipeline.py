@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, neardup, quality
+from millrace.llm import bpe, decontam, linededup, neardup, quality
 from millrace.llm.store import stored
 
 
@@ -18,6 +19,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, _beside(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def no_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that nearly repeat an earlier one go; n_chars follows the text."""
+    return linededup.without_repeated_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with near-equal sets of five-word shingles, the one with the least id stays."""
     return neardup.deduplicated(docs, k=5, percent=80)
@@ -35,6 +41,7 @@ def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_quality),
+    ("line dedup", no_repeated_lines),
     ("minhash near-dedup", one_of_each),
     ("benchmark decontamination", no_benchmark),
     ("bpe encoding and decoding", as_tokens),

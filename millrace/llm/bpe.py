@@ -19,6 +19,7 @@ import json
 import struct
 import sys
 import unicodedata
+import uuid
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -259,11 +260,11 @@ class Encoder:
         return out, np.concatenate([[0], stop])[ends]
 
 
-_here: dict[int, Encoder] = {}
+_here: dict[str, Encoder] = {}
 
 
-def _encoder(shared) -> Encoder:
-    key = shared.id if hasattr(shared, "id") else id(shared)
+def _encoder(shared, key: str) -> Encoder:
+    """The encoder of one call, kept by a worker over its tasks with the words it has met."""
     if key not in _here:
         _here.clear()
         _here[key] = Encoder(shared.value)
@@ -294,11 +295,11 @@ def encode_column(df: DataFrame, tables: BpeTables, text: str = "text", keep: tu
     if clash := {n for n, _ in more} & set(keep):
         raise ValueError(f"columns {sorted(clash)} are made here")
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, t) for n, t in more)])
-    shared = df.sparkSession.sparkContext.broadcast(tables)
+    shared, name = df.sparkSession.sparkContext.broadcast(tables), uuid.uuid4().hex
     n_keep = len(keep)
 
     def run(batches):
-        enc = _encoder(shared)
+        enc = _encoder(shared, name)
         for batch in batches:
             texts = batch.column(n_keep)
             for a, b in slices(texts):

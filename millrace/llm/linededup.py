@@ -1,16 +1,17 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
-A line is the set of its words.  Words are ordered by rarity (a counter of the
-whole corpus, then a hash), each line is indexed under its first
-n - ceil(t n) + 1 words only, and lines that share such a word meet if their
-lengths, and what is left after the shared word on either side, allow a
-similarity of t.  Every pair of similarity t passes these filters; survivors
-are verified on the words themselves.  A line goes if an earlier line (by
-document id, then line number) matches it.
-
-Lines with equal sets are one class, so copies never meet.  Within a word's
-lines, each is first compared with the earliest one; only lines without a
-match there are compared with the other earlier ones.  So a word with many
+A line is the set of its words.  Words are ordered by rarity (how often their
+counter was hit over the whole corpus, then a hash), and each line is indexed
+under its first n - ceil(t n) + 1 words only.  Lines that share such a word meet
+if their lengths, what is left from that word on (position), and a bitmap of
+their words allow a similarity of t.  Every pair of similarity t passes these
+filters at its first shared word; survivors are verified on the words
+themselves.  A line goes if an earlier line (by document id, then line number)
+matches it.
+
+Lines with equal sets are one class, so copies never meet.  A line that passes
+the filters with the earliest line of a word is compared with that one first;
+only where this fails is it compared with the others.  So a word with many
 near-equal lines costs their number, not its square.
 """
 
@@ -24,8 +25,8 @@ from millrace.llm.store import stored
 PERCENT = 80
 #: Lines with fewer distinct words stay, whatever they repeat.
 MIN_WORDS = 5
-#: Counters that order words by rarity (a fixed number, so the order table has a fixed size).
-COUNTERS = 1 << 14
+#: log2 of the counters that order words by rarity: a table of one byte each, of fixed size.
+COUNTER_BITS = 17
 #: Rows that are broadcast to the documents, at most; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -35,19 +36,17 @@ def _words(text: Column) -> Column:
 
 
 def _counter(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(COUNTERS))
+    return F.xxhash64(word).bitwiseAND(F.lit((1 << COUNTER_BITS) - 1)).cast("int")
 
 
 def rarity(docs: DataFrame, text: str) -> Column:
-    """An array literal: the rank of each counter by how many words of the corpus fall in it."""
-    counts = docs.select(F.explode(_words(F.col(text))).alias("w")).groupBy(_counter(F.col("w")).cast("int").alias("c")).count()
-    total = [0] * COUNTERS
-    for r in counts.collect():  # COUNTERS rows at most
-        total[r["c"]] = r["count"]
-    rank = [0] * COUNTERS
-    for k, c in enumerate(sorted(range(COUNTERS), key=lambda c: (total[c], c))):
-        rank[c] = k
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>")
+    """A binary literal: of each counter, 1 to 127 as its count's logarithm grows, counted over all words of all rows."""
+    counts = docs.select(F.explode(_words(F.col(text))).alias("w")).groupBy(_counter(F.col("w")).alias("c")).agg(F.count("*").alias("n"))
+    levels = counts.select("c", F.least(F.lit(127), 1 + F.floor(4 * F.log2("n"))).cast("int").alias("level"))
+    table = bytearray(b"\1") * (1 << COUNTER_BITS)
+    for r in levels.toLocalIterator():  # a row for each counter at most
+        table[r["c"]] = r["level"]
+    return F.lit(bytes(table))
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -57,11 +56,21 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _keys(rank: Column) -> Column:
-    """Words as sorted numbers, rarest first: 14 bits of rank, 48 of hash."""
-    number = lambda w: F.shiftleft(F.element_at(rank, (_counter(w) + 1).cast("int")).cast("bigint"), 48).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 48) - 1)))
+    """Words as sorted numbers, rarest first: 7 bits of rank, 56 of hash."""
+
+    def number(w: Column) -> Column:
+        level = F.ascii(F.substring(rank, _counter(w) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+
     return F.sort_array(F.transform("words", number))
 
 
+def _bitmap(half: int) -> Column:
+    """64 of 128 bits; seven bits of a key choose the one that it sets, so k words that two sets do not share differ in k bits at most."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate("k", F.lit(0).cast("bigint"), lambda acc, k: F.when(F.shiftright(k, 6).bitwiseAND(F.lit(1)) == half, acc.bitwiseOR(bit(k))).otherwise(acc))
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """Those of ``pairs`` (stored; a is earlier) whose word sets have 100 * intersection >= percent * union: distinct (id, no) of b."""
     ends = stored(pairs.select(F.col("a_id").alias("id"), F.col("a_no").alias("no")).unionByName(pairs.select(F.col("b_id").alias("id"), F.col("b_no").alias("no"))).distinct(), "ends")
@@ -75,38 +84,52 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent:
     return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select(F.col("b_id").alias("id"), F.col("b_no").alias("no")).distinct()
 
 
-def _fits(percent: int, n1: str, i1: str, n2: str, i2: str) -> Column:
-    """Length and positional filters: what can still be shared from words i1 and i2 on suffices for the similarity."""
-    return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) AND (100 + {percent}) * (1 + least({n1} - {i1}, {n2} - {i2}) + least({i1}, {i2})) >= {percent} * ({n1} + {n2})")
+def _fits(percent: int, x: str, y: str) -> Column:
+    """Length, position and bitmap filters: none rejects two sets of the similarity at their first shared word."""
+    length = f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
+    position = f"(100 + {percent}) * least({x}.n - {x}.i, {y}.n - {y}.i) >= {percent} * ({x}.n + {y}.n)"
+    bitmap = f"(100 + {percent}) * (bit_count({x}.b1 ^ {y}.b1) + bit_count({x}.b2 ^ {y}.b2)) <= {100 - percent} * ({x}.n + {y}.n)"
+    return F.expr(f"{length} AND {position} AND {bitmap}")
+
+
+_PAIR = ("a_id", "a_no", "b_id", "b_no")
+
+
+def _pair(earlier: str, later: str) -> list[Column]:
+    return [F.col(f"{s}.{c}").alias(n) for n, (s, c) in zip(_PAIR, ((earlier, "id"), (earlier, "no"), (later, "id"), (later, "no")), strict=True)]
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, h, no) of every line that goes; h is the hash of its document's text."""
-    keys = _lines(docs, key, text).withColumn("k", _keys(rarity(docs, text)))
-    n = F.size("words")
+    n = F.size("k")
+    keyed = _lines(docs, key, text).select("id", "h", "no", _keys(rarity(docs, text)).alias("k"))
     prefix = F.slice("k", 1, n - F.ceil(n * percent / F.lit(100)).cast("int") + 1)
-    lines = keys.select("id", "h", "no", F.xxhash64("k").alias("d1"), F.crc32(F.array_join(F.sort_array("words"), " ")).alias("d2"), n.alias("n"), prefix.alias("prefix"))
-    lines = stored(lines.withColumn("first", F.min(F.struct("id", "no")).over(Window.partitionBy("d1", "d2"))).withColumn("is_first", (F.col("id") == F.col("first.id")) & (F.col("no") == F.col("first.no"))).drop("first", "d1", "d2"), "lines")
-
-    entries = lines.where("is_first").select("id", "no", "n", F.posexplode("prefix").alias("i", "token"))
-    group = Window.partitionBy("token")
-    met = stored(entries.withColumn("size", F.count("*").over(group)).where("size > 1").withColumn("head", F.min(F.struct("id", "no", "n", "i")).over(group)), "met")
-
-    to_head = met.where("(id, no) <> (head.id, head.no)").where(_fits(percent, "n", "i", "head.n", "head.i"))
-    tried = stored(to_head.select(F.col("head.id").alias("a_id"), F.col("head.no").alias("a_no"), F.col("id").alias("b_id"), F.col("no").alias("b_no")).distinct(), "pairs")
+    lines = keyed.select("id", "h", "no", F.xxhash64("k").alias("d"), n.alias("n"), _bitmap(0).alias("b1"), _bitmap(1).alias("b2"), prefix.alias("prefix"))
+    first = F.min(F.struct("id", "no")).over(Window.partitionBy("d", "n", "b1", "b2"))
+    lines = lines.withColumn("first", first).withColumn("is_first", F.col("first") == F.struct("id", "no"))
+    lines = stored(lines.select("id", "h", "no", "n", "b1", "b2", "is_first", F.when(F.col("is_first"), F.col("prefix")).alias("prefix")), "lines")
+
+    entries = lines.where("is_first").select("id", "no", "n", "b1", "b2", F.posexplode("prefix").alias("i", "token"))
+    met = entries.withColumn("head", F.min(F.struct("id", "no", "n", "i", "b1", "b2")).over(Window.partitionBy("token")))
+    met = met.select("token", F.struct("id", "no", "n", "i", "b1", "b2").alias("x"), "head").where("(x.id, x.no) <> (head.id, head.no)")
+    others = entries.select("token", F.struct("id", "no", "n", "i", "b1", "b2").alias("y"))
+    earlier = F.expr("y.id < x.id OR (y.id = x.id AND y.no < x.no)")
+    near_head = met.where(_fits(percent, "x", "head")).select(*_pair("head", "x"))
+    far = met.where(~_fits(percent, "x", "head")).drop("head").join(others, "token").where(earlier & _fits(percent, "x", "y")).select(*_pair("y", "x"))
+    tried = stored(near_head.unionByName(far).distinct(), "pairs")
     gone = stored(_confirmed(docs, tried, key, text, percent), "gone")
 
-    open_ = met.where("size > 2 AND (id, no) <> (head.id, head.no)").join(gone, ["id", "no"], "left_anti")
-    x, y = open_.alias("x"), met.where("size > 2").alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr("(x.id > y.id OR (x.id = y.id AND x.no > y.no))") & _fits(percent, "x.n", "x.i", "y.n", "y.i"))
-    rest = rest.select(F.col("y.id").alias("a_id"), F.col("y.no").alias("a_no"), F.col("x.id").alias("b_id"), F.col("x.no").alias("b_no")).distinct()
-    rest = stored(rest.join(tried, ["a_id", "a_no", "b_id", "b_no"], "left_anti"), "rest")
+    # Lines that were near the head of some word's lines and matched none so far: all earlier lines of their words.
+    open_ = stored(tried.select(F.col("b_id").alias("id"), F.col("b_no").alias("no")).distinct().join(gone, ["id", "no"], "left_anti"), "open")
+    few = open_.count() <= BROADCAST_ROWS
+    x = entries.join(F.broadcast(open_) if few else open_, ["id", "no"], "left_semi").select("token", F.struct("id", "no", "n", "i", "b1", "b2").alias("x"))
+    rest = x.join(others, "token").where(earlier & _fits(percent, "x", "y")).select(*_pair("y", "x")).distinct()
+    rest = stored(rest.join(tried, list(_PAIR), "left_anti"), "rest")
     if rest.take(1):
-        gone = gone.unionByName(_confirmed(docs, rest, key, text, percent)).distinct()
+        gone = stored(gone.unionByName(_confirmed(docs, rest, key, text, percent)).distinct(), "gone")
     matched = lines.where("is_first").join(gone, ["id", "no"], "left_semi")
     return lines.where("NOT is_first").unionByName(matched).select("id", "h", "no")
 
-
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, count: str | None = None) -> DataFrame:
     """``docs`` with later matches removed from ``text``; ``count`` names an added column with how many lines went.
 
