@@ -97,11 +97,11 @@ SQL: dict[str, str] = {
                   ELSE '<|user name=' || coalesce(role, 'unknown') || '|>' END || chr(10) AS head,
                 coalesce(text, '') || '<|end|>' || chr(10) AS body
               FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-        w AS (SELECT *, row_number() OVER o AS k, sum(length(head) + length(body)) OVER o - length(body) AS at
+        w AS (SELECT *, row_number() OVER o AS k, sum(length(head) + length(body)) OVER o - length(body) AS pos
               FROM s WINDOW o AS (PARTITION BY conv_id, block, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING))
         SELECT conv_id, block, perspective, count(*) AS n_turns, CAST(count(*) FILTER (WHERE learn) AS BIGINT) AS n_learned,
           CAST(sum(length(head) + length(body)) AS BIGINT) AS n_chars,
-          coalesce(string_agg(CAST(at AS VARCHAR) || ':' || CAST(at + length(body) - 1 AS VARCHAR), ',' ORDER BY k) FILTER (WHERE learn), '') AS mask,
+          coalesce(string_agg(CAST(CAST(pos AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(pos AS BIGINT) + length(body) - 1 AS VARCHAR), ',' ORDER BY k) FILTER (WHERE learn), '') AS mask,
           sha256(string_agg(head || body, '' ORDER BY k)) AS text_sha256
         FROM w GROUP BY conv_id, block, perspective""",
     "op3_winnowing_decontamination": """
