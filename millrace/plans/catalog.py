@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from millrace.plans import aggregates, graphs, relational, scalars, sources, streams, windows  # noqa: F401
+from millrace.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
