@@ -5,25 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read again; where none is named (a local session), to a temporary one."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A path of its own in the folder in ``spark.checkpoint.dir`` (where none is named, in a temporary one), deleted when the session's JVM ends."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="millrace-"))
         top = _own[0]
     path = f"{top.rstrip('/')}/millrace/state-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: a short plan that no executor's loss undoes."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settled(before: DataFrame, after: DataFrame, columns: list[str]) -> bool:
