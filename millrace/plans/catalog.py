@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import aggregates, graphs, relational, scalars, sources, streams, windows  # noqa: F401
+from millrace.plans import aggregates, graphs, more, relational, scalars, sources, streams, windows  # noqa: F401
 from millrace.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -63,3 +63,9 @@ def patched(template: DataFrame, measured: DataFrame) -> DataFrame:
     t = template.withColumn("key", F.when(F.col("line").startswith("-"), key))
     line: Column = F.when(F.col("value").isNotNull(), F.concat_ws(" ", "key", "value")).otherwise(F.col("line"))
     return t.join(measured, "key", "left").select("no", line.alias("line")).orderBy("no")
+
+
+def write_line_profile(df: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """``source line : c1 c2 ...`` for each (source, line)."""
+    text = F.concat_ws(" ", "source", F.col("line").cast("string"), F.lit(":"), *(F.col(c).cast("string") for c in columns))
+    df.select(text.alias("value")).write.mode("overwrite").text(path)

@@ -23,16 +23,29 @@ def file_stream(spark: SparkSession, folder: str, name: str, per_trigger: int |
     return reader.parquet(f"{folder}/{name}.parquet*")
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything the stream gives for the files present: each batch is appended, or replaces the last (mode complete), exactly once by its number."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def drain(stream: DataFrame, mode: str = "append", on_disk: bool = False) -> DataFrame:
+    """Everything the stream gives for the files present: each batch is appended, or replaces the last (mode complete), exactly once by its number.
+
+    ``on_disk`` keeps the operators' state in RocksDB, so it may outgrow memory.
+    """
     spark = stream.sparkSession
     out, state = scratch(spark), scratch(spark)
+    before = spark.conf.get(_PROVIDER)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start()
-    query.awaitTermination()
+    if on_disk:
+        spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before)
     return spark.read.schema(stream.schema).parquet(out if mode == "complete" else f"{out}/batch=*")
 
 
