@@ -16,25 +16,26 @@ def _micros(t):
     return t.events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
-_DAY = F.date_format("start", "yyyy-MM-dd HH:mm").alias("start")
+def _day():
+    return F.date_format("start", "yyyy-MM-dd HH:mm").alias("start")
 
 
 @query("T01_tumbling_window", "SELECT strftime(time_bucket(INTERVAL 1 day, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def t01(t):
     made = S.drain(S.tumbling(_stream(t), "ts", "1 day", ["event_type"], F.count("*").alias("n")), "complete")
-    return made.select(_DAY, "event_type", "n")
+    return made.select(_day(), "event_type", "n")
 
 
 @query("T02_window_counters", "SELECT strftime(time_bucket(INTERVAL 6 hour, ts), '%Y-%m-%d %H:%M') AS start, round(sum(value), 4) AS total, count(value) AS n FROM events GROUP BY 1")
 def t02(t):
     made = S.drain(S.tumbling(_stream(t), "ts", "6 hours", [], F.sum("value").alias("total"), F.count("value").alias("n")), "complete")
-    return made.select(_DAY, r6(F.col("total"), 4).alias("total"), "n")
+    return made.select(_day(), r6(F.col("total"), 4).alias("total"), "n")
 
 
 @query("T18_sliding_window", "SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 6 hour, ts), time_bucket(INTERVAL 6 hour, ts) - INTERVAL 6 hour]) AS s FROM events) GROUP BY 1")
 def t18(t):
     made = S.drain(S.tumbling(_stream(t), "ts", "12 hours", [], F.count("*").alias("n"), slide="6 hours"), "complete")
-    return made.select(_DAY, "n")
+    return made.select(_day(), "n")
 
 
 @query("T08_without_repeats", "SELECT count(DISTINCT event_id) AS n FROM events")
