@@ -32,16 +32,17 @@ BROADCAST_ROWS = 2_000_000
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " ")
+    """Lower-cased words between white space; the first or the last may be empty."""
+    return F.split(F.lower(text), r"\s+")
 
 
-def _counter(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit((1 << COUNTER_BITS) - 1)).cast("int")
+def _counter(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << COUNTER_BITS) - 1)).cast("int")
 
 
 def rarity(docs: DataFrame, text: str) -> Column:
     """A binary literal: of each counter, 1 to 127 as its count's logarithm grows, counted over all words of all rows."""
-    counts = docs.select(F.explode(_words(F.col(text))).alias("w")).groupBy(_counter(F.col("w")).alias("c")).agg(F.count("*").alias("n"))
+    counts = docs.select(F.explode(_words(F.col(text))).alias("w")).groupBy(_counter(F.xxhash64("w")).alias("c")).agg(F.count("*").alias("n"))
     levels = counts.select("c", F.least(F.lit(127), 1 + F.floor(4 * F.log2("n"))).cast("int").alias("level"))
     table = bytearray(b"\1") * (1 << COUNTER_BITS)
     for r in levels.toLocalIterator():  # a row for each counter at most
@@ -50,25 +51,35 @@ def rarity(docs: DataFrame, text: str) -> Column:
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, h, no, words) of the lines that take part; h tells apart rows that share an id."""
-    cut = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
-    return cut.select("id", "h", "no", F.array_distinct(_words(F.col("line"))).alias("words")).where(F.size("words") >= MIN_WORDS)
+    """(id, h, no, line) of the documents with an id; h tells apart rows that share it."""
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
+
+
+def _set(line: Column) -> Column:
+    """The distinct words of a line."""
+    return F.array_distinct(F.array_remove(_words(line), ""))
+
+
+def _hashes(line: Column) -> Column:
+    """The hashes of the distinct words of a line."""
+    empty = F.xxhash64(F.lit(""))
+    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), empty)
 
 
 def _keys(rank: Column) -> Column:
-    """Words as sorted numbers, rarest first: 7 bits of rank, 56 of hash."""
+    """Hashes as sorted numbers, rarest first: 7 bits of rank, 56 of hash."""
 
-    def number(w: Column) -> Column:
-        level = F.ascii(F.substring(rank, _counter(w) + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    def number(h: Column) -> Column:
+        level = F.ascii(F.substring(rank, _counter(h) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.transform("words", number))
+    return F.sort_array(F.transform("hashes", number))
 
 
-def _bitmap(half: int) -> Column:
-    """64 of 128 bits; seven bits of a key choose the one that it sets, so k words that two sets do not share differ in k bits at most."""
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("k", F.lit(0).cast("bigint"), lambda acc, k: F.when(F.shiftright(k, 6).bitwiseAND(F.lit(1)) == half, acc.bitwiseOR(bit(k))).otherwise(acc))
+def _bitmap() -> Column:
+    """64 bits, one for each key whose bit 6 is set, chosen by its six lowest bits: k words that two sets do not share differ in k bits at most."""
+    bit = lambda k: F.call_function("shiftleft", F.shiftright(k, 6).bitwiseAND(F.lit(1).cast("bigint")), k.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate("k", F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseOR(bit(k)))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
@@ -77,7 +88,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent:
     ids = ends.select("id").distinct()
     ids = F.broadcast(ids) if ends.count() <= BROADCAST_ROWS else ids
     some = docs.join(ids.withColumnRenamed("id", "_id"), F.col(key).cast("bigint") == F.col("_id"), "left_semi")
-    lines = _lines(some, key, text).select("id", "no", "words").join(ends, ["id", "no"], "left_semi")
+    lines = _lines(some, key, text).join(ends, ["id", "no"], "left_semi").select("id", "no", _set(F.col("line")).alias("words"))
     side = lambda s: lines.select(F.col("id").alias(f"{s}_id"), F.col("no").alias(f"{s}_no"), F.col("words").alias(s))
     both = pairs.join(side("a"), ["a_id", "a_no"]).join(side("b"), ["b_id", "b_no"])
     shared = F.size(F.array_intersect("a", "b"))
@@ -86,9 +97,11 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent:
 
 def _fits(percent: int, x: str, y: str) -> Column:
     """Length, position and bitmap filters: none rejects two sets of the similarity at their first shared word."""
-    length = f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
-    position = f"(100 + {percent}) * least({x}.n - {x}.i, {y}.n - {y}.i) >= {percent} * ({x}.n + {y}.n)"
-    bitmap = f"(100 + {percent}) * (bit_count({x}.b1 ^ {y}.b1) + bit_count({x}.b2 ^ {y}.b2)) <= {100 - percent} * ({x}.n + {y}.n)"
+    n = lambda s: f"shiftright({s}.ni, 32)"
+    left = lambda s: f"(shiftright({s}.ni, 32) - ({s}.ni & 4294967295L))"
+    length = f"100 * least({n(x)}, {n(y)}) >= {percent} * greatest({n(x)}, {n(y)})"
+    position = f"{100 + percent} * least({left(x)}, {left(y)}) >= {percent} * ({n(x)} + {n(y)})"
+    bitmap = f"{100 + percent} * bit_count({x}.b ^ {y}.b) <= {100 - percent} * ({n(x)} + {n(y)})"
     return F.expr(f"{length} AND {position} AND {bitmap}")
 
 
@@ -102,17 +115,20 @@ def _pair(earlier: str, later: str) -> list[Column]:
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, h, no) of every line that goes; h is the hash of its document's text."""
     n = F.size("k")
-    keyed = _lines(docs, key, text).select("id", "h", "no", _keys(rarity(docs, text)).alias("k"))
+    keyed = _lines(docs, key, text).withColumn("hashes", _hashes(F.col("line"))).where(F.size("hashes") >= MIN_WORDS).select("id", "h", "no", _keys(rarity(docs, text)).alias("k"))
     prefix = F.slice("k", 1, n - F.ceil(n * percent / F.lit(100)).cast("int") + 1)
-    lines = keyed.select("id", "h", "no", F.xxhash64("k").alias("d"), n.alias("n"), _bitmap(0).alias("b1"), _bitmap(1).alias("b2"), prefix.alias("prefix"))
-    first = F.min(F.struct("id", "no")).over(Window.partitionBy("d", "n", "b1", "b2"))
+    lines = keyed.select("id", "h", "no", F.xxhash64("k").alias("d"), n.alias("n"), _bitmap().alias("b"), prefix.alias("prefix"))
+    first = F.min(F.struct("id", "no")).over(Window.partitionBy("d", "n", "b"))
     lines = lines.withColumn("first", first).withColumn("is_first", F.col("first") == F.struct("id", "no"))
-    lines = stored(lines.select("id", "h", "no", "n", "b1", "b2", "is_first", F.when(F.col("is_first"), F.col("prefix")).alias("prefix")), "lines")
-
-    entries = lines.where("is_first").select("id", "no", "n", "b1", "b2", F.posexplode("prefix").alias("i", "token"))
-    met = entries.withColumn("head", F.min(F.struct("id", "no", "n", "i", "b1", "b2")).over(Window.partitionBy("token")))
-    met = met.select("token", F.struct("id", "no", "n", "i", "b1", "b2").alias("x"), "head").where("(x.id, x.no) <> (head.id, head.no)")
-    others = entries.select("token", F.struct("id", "no", "n", "i", "b1", "b2").alias("y"))
+    lines = stored(lines.select("id", "h", "no", "n", "b", "is_first", F.when(F.col("is_first"), F.col("prefix")).alias("prefix")), "lines")
+
+    # A row for each prefix word of each class, dealt out by the word once; the length and the word's place share a number.
+    # No side's plan differs below the exchange (hence the filter, which a join would add to its sides alone), so it is made once.
+    spread = lines.where("is_first").select("id", "no", "n", "b", F.posexplode("prefix").alias("i", "token")).where("token IS NOT NULL AND id IS NOT NULL AND no IS NOT NULL AND b IS NOT NULL")
+    entries = spread.select("token", "id", "no", F.expr("shiftleft(CAST(n AS BIGINT), 32) | i").alias("ni"), "b").where("ni IS NOT NULL").repartition("token")
+    line = F.struct("id", "no", "ni", "b")
+    met = entries.select("token", line.alias("x"), F.min(line).over(Window.partitionBy("token")).alias("head")).where("(x.id, x.no) <> (head.id, head.no)")
+    others = entries.select("token", line.alias("y"))
     earlier = F.expr("y.id < x.id OR (y.id = x.id AND y.no < x.no)")
     near_head = met.where(_fits(percent, "x", "head")).select(*_pair("head", "x"))
     far = met.where(~_fits(percent, "x", "head")).drop("head").join(others, "token").where(earlier & _fits(percent, "x", "y")).select(*_pair("y", "x"))
@@ -122,14 +138,18 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     # Lines that were near the head of some word's lines and matched none so far: all earlier lines of their words.
     open_ = stored(tried.select(F.col("b_id").alias("id"), F.col("b_no").alias("no")).distinct().join(gone, ["id", "no"], "left_anti"), "open")
     few = open_.count() <= BROADCAST_ROWS
-    x = entries.join(F.broadcast(open_) if few else open_, ["id", "no"], "left_semi").select("token", F.struct("id", "no", "n", "i", "b1", "b2").alias("x"))
-    rest = x.join(others, "token").where(earlier & _fits(percent, "x", "y")).select(*_pair("y", "x")).distinct()
+    asked = spread.join(F.broadcast(open_) if few else open_, ["id", "no"], "left_semi").select("token", "id", "no", F.expr("shiftleft(CAST(n AS BIGINT), 32) | i").alias("ni"), "b")
+    asked = stored(asked, "asked")
+    tokens = asked.select("token").distinct()
+    near = spread.select("token", "id", "no", F.expr("shiftleft(CAST(n AS BIGINT), 32) | i").alias("ni"), "b").join(F.broadcast(tokens) if asked.count() <= BROADCAST_ROWS else tokens, "token", "left_semi")
+    rest = asked.select("token", line.alias("x")).join(near.select("token", line.alias("y")), "token").where(earlier & _fits(percent, "x", "y")).select(*_pair("y", "x")).distinct()
     rest = stored(rest.join(tried, list(_PAIR), "left_anti"), "rest")
     if rest.take(1):
         gone = stored(gone.unionByName(_confirmed(docs, rest, key, text, percent)).distinct(), "gone")
     matched = lines.where("is_first").join(gone, ["id", "no"], "left_semi")
     return lines.where("NOT is_first").unionByName(matched).select("id", "h", "no")
 
+
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, count: str | None = None) -> DataFrame:
     """``docs`` with later matches removed from ``text``; ``count`` names an added column with how many lines went.
 
