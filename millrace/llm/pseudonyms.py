@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 _DATE_ISO = r"(?<![0-9A-Za-z])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z])"
-_DATE_DAY = r"(?<![0-9A-Za-z])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9A-Za-z])"
+_DATE_DAY = r"(?<![0-9A-Za-z])(?:[0-9]{2}\.[0-9]{2}\.|[0-9]{2}/[0-9]{2}/)[0-9]{4}(?![0-9A-Za-z])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _IP = rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])"
 _PHONE = r"\+1[ -]?\([0-9]{3}\)[ -]?[0-9]{3}-[0-9]{4}(?![0-9])"
-_CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+_GROUPS = "|".join(f"[0-9]{{4}}(?:{s}[0-9]{{4}}){{2}}{s}[0-9]{{1,7}}|[0-9]{{4}}{s}[0-9]{{6}}{s}[0-9]{{5}}" for s in " -")
+_CARD = rf"(?<![0-9A-Za-z])(?:[0-9]{{13,19}}|{_GROUPS})(?![0-9A-Za-z])"
 #: Alternatives in the order in which they are tried at a place.
 KINDS = {"date_iso": _DATE_ISO, "date_day": _DATE_DAY, "ip": _IP, "phone": _PHONE, "card": _CARD}
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())

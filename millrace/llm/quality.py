@@ -184,8 +184,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key: st
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text: str = "text", **options) -> DataFrame:
-    """All columns of the documents that the classifier accepts."""
+    """All columns, whatever their names, of the documents that the classifier accepts."""
     part = F.crc32(F.col("doc_id").cast("string")) % 4
     model = train(docs, labels, text=text, where=part != 2, **options)
-    made = score(docs, model, tuple(docs.columns), text, name="_score")
-    return made.where(F.col("_score") >= threshold).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return score(rows, model, ("row",), "text").where(F.col("score") >= threshold).select("row.*")

@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where that is unset (a local session), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="millrace-"))
-    return _own[0]
+from millrace.operators.iterate import scratch
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table of its own in the shared folder and read it again.
+    """Write ``df`` as a table of its own in the folder that ``spark.checkpoint.dir`` names, and read it again.
 
     What is read no longer depends on executors' memory or shuffle files.  The
-    table is deleted when the session's JVM ends.
+    table is deleted when the session's JVM ends; ``name`` says what it holds.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
