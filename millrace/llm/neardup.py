@@ -6,6 +6,10 @@ permutations make all coordinates.  ``BANDS`` bands of ``ROWS`` coordinates give
 buckets; with 32 of 4, two sets of Jaccard similarity 0.8 share no bucket with
 probability 5e-8.
 
+A sketch of one bit of each coordinate (1-bit minwise hashing) says whether a pair
+is worth confirming: at similarity 0.8, 128 bits differ in 13 places on average
+and in more than 36 with probability below 2e-8; unrelated sets differ in 64.
+
 Links are searched without emitting the pairs of a bucket.  Documents with equal
 sets are one class.  (1) Each class is compared with the least id of each of
 its buckets, links are confirmed on the full sets, and components are formed.
@@ -19,6 +23,7 @@ bucket of any size is complete).  A final run over all links gives the component
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -110,23 +115,51 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(sig: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit numbers for each set: one bit of each of the first 128 coordinates."""
+    bits = np.zeros((len(sig), 128), np.uint8)
+    bits[:, : min(128, sig.shape[1])] = (sig[:, :128] >> 7) & 1
+    packed = np.packbits(bits, axis=1).view("<i8")
+    return [np.ascontiguousarray(packed[:, 0]), np.ascontiguousarray(packed[:, 1])]
+
+
+def most_different(percent: int) -> int:
+    """Bits of 128 in which sketches of a similarity differ, plus seven standard deviations: 36 for 80 percent."""
+    q = (1 - percent / 100) / 2
+    return int(128 * q + 7 * math.sqrt(128 * q * (1 - q)))
+
+
+def _alike(x: str, y: str, percent: int) -> str:
+    """SQL for: the sketches differ little enough."""
+    most = most_different(percent)
+    return f"bit_count({x}s1 ^ {y}s1) + bit_count({x}s2 ^ {y}s2) <= {most}"
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sketches are alike."""
+    of = lambda side: classes.select(F.col("rep").alias(side), F.col("s1").alias(f"{side}_s1"), F.col("s2").alias(f"{side}_s2"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_alike("a_", "b_", percent)).select("a", "b")
+
+
 def signed(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, digest of the set, bands) of each document with an id; one narrow pass."""
-    schema = "id bigint, n_shingles bigint, digest binary, bands array<bigint>"
+    """(id, n_shingles, digest of the set, bands, two halves of the sketch) of each document; one narrow pass."""
+    schema = "id bigint, n_shingles bigint, digest binary, bands array<bigint>, s1 bigint, s2 bigint"
 
     def run(batches):
         for batch in batches:
             for w in words(batch.column(1), _TABLE):
                 sets = shingle_sets(w, k)
-                keys = band_keys(signatures(sets, bands * rows), bands, rows)
+                sig = signatures(sets, bands * rows)
+                keys, halves = band_keys(sig, bands, rows), sketches(sig)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(w.first, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())),
+                        *(pa.array(h) for h in halves),
                     ],
-                    names=["id", "n_shingles", "digest", "bands"],
+                    names=["id", "n_shingles", "digest", "bands", "s1", "s2"],
                 )
 
     return docs.select(F.col(key).cast("bigint").alias("id"), text).mapInArrow(run, schema)
@@ -175,10 +208,10 @@ def confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, k: int, pe
 def _prefix_pairs(docs: DataFrame, key: str, text: str, members: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) from different components that share one of their rarest shingles.
 
-    ``members``: (rep, c) of the documents to search.  Rarity is that of a
+    ``members``: (rep, c, s1, s2) of the documents to search.  Rarity is that of a
     shingle's counter over these documents; any order would be complete, this
-    one keeps common shingles out of the prefixes.  Documents are paired by
-    (shingle, component) first, so a large component is never paired with itself.
+    one keeps common shingles out of the prefixes.  Components that share a
+    shingle are paired first, so a large one is never paired with itself.
     """
     sets = stored(_sets(docs, key, text, members.select(F.col("rep").alias("id")), k), "sets")
 
@@ -197,25 +230,35 @@ def _prefix_pairs(docs: DataFrame, key: str, text: str, members: DataFrame, k: i
 
     def prefixes(batches):
         for batch in batches:
-            ids, tokens, size = [], [], []
+            ids, tokens, size, place = [], [], [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = np.frombuffer(x.as_buffer(), U)
                 n = len(s)
                 p = n + percent * n // -100 + 1  # n - ceil(t n) + 1
                 pick = s[np.lexsort((s, shared.value[(s >> U(64 - COUNTER_BITS)).astype(np.int64)]))[:p]]
-                ids.append(np.full(p, i)), tokens.append(pick.view(np.int64)), size.append(np.full(p, n))
+                ids.append(np.full(p, i)), tokens.append(pick.view(np.int64)), size.append(np.full(p, n)), place.append(np.arange(p))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, tokens, size)], names=["rep", "token", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, tokens, size, place)], names=["rep", "token", "n", "i"])
 
-    rows = stored(sets.mapInArrow(prefixes, "rep bigint, token bigint, n bigint").join(members, "rep"), "prefixes")
-    held = rows.groupBy("token", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    size = members.groupBy("c").agg(F.count("*").alias("size"))
+    known = stored(sets.select(F.col("id").alias("rep"), F.expr("length(shingles) div 8").alias("n")).join(members, "rep").join(size, "c"), "searched")
+    rows = sets.mapInArrow(prefixes, "rep bigint, token bigint, n bigint, i bigint").join(known.drop("n"), "rep")
+    held = rows.groupBy("token", "c").agg(F.count("*").alias("m"), F.min("n").alias("n"), F.max("n").alias("hi"), F.min("i").alias("i"), *(F.first(x).alias(x) for x in ("size", "s1", "s2")))
+    held = stored(held, "prefixes")
     several = held.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("token")
     held = held.join(several, "token", "left_semi")
     x, y = held.alias("x"), held.alias("y")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & F.expr(f"100 * x.hi >= {percent} * y.lo AND 100 * y.hi >= {percent} * x.lo")).select(F.col("x.token").alias("token"), F.col("x.c").alias("c1"), F.col("y.c").alias("c2"))
-    p = rows.select("token", F.col("c").alias("c1"), F.col("rep").alias("r1"), F.col("n").alias("n1"))
-    q = rows.select("token", F.col("c").alias("c2"), F.col("rep").alias("r2"), F.col("n").alias("n2"))
-    return cross.join(p, ["token", "c1"]).join(q, ["token", "c2"]).where(f"100 * n1 >= {percent} * n2 AND 100 * n2 >= {percent} * n1").select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b")).distinct()
+    # what any two members could reach at best: lengths, position at the first shared shingle, and (of two single members) sketches
+    length = f"100 * x.hi >= {percent} * y.n AND 100 * y.hi >= {percent} * x.n"
+    position = f"{100 + percent} * least(x.hi - x.i, y.hi - y.i) >= {percent} * (x.n + y.n)"
+    single = f"x.m > 1 OR y.m > 1 OR ({_alike('x.', 'y.', percent)})"
+    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr(f"(x.size > y.size OR (x.size = y.size AND x.c > y.c)) AND {length} AND {position} AND ({single})"))
+    cross = stored(cross.select(F.col("x.c").alias("c1"), F.col("y.c").alias("c2")).distinct(), "cross")
+    # the smaller component's members first; the larger one's meet them under the filters
+    of = lambda c, side: known.select(F.col("c").alias(c), *(F.col(v).alias(f"{side}_{v}") for v in ("rep", "n", "s1", "s2")))
+    meet = (F.col("c1") == F.col("c1_")) & F.expr(f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) AND {_alike('x_', 'y_', percent)}")
+    pairs = cross.join(of("c2", "y"), "c2").join(of("c1_", "x"), meet)
+    return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
@@ -232,21 +275,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """
     base = stored(signed(docs, key, text, k, bands, rows), "signatures")
     usable = base.where("id IS NOT NULL AND n_shingles > 0")
-    classes = stored(usable.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = stored(usable.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("bands", "s1", "s2"))), "classes")
     entries = classes.select("rep", F.explode("bands").alias("bucket"))
     heads = entries.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
     members = stored(entries.join(heads, "bucket"), "members")
 
-    tried = stored(members.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    met = stored(members.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "met")
+    tried = stored(_likely(met, classes, percent), "pairs")
     links = stored(confirmed(docs, tried, key, text, k, percent), "confirmed")
     found = components(links)
 
     now = members.where("n > 2").join(found.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     mixed = now.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("bucket")
-    now = stored(now.join(mixed, "bucket", "left_semi"), "mixed")
+    sketch = classes.select("rep", "s1", "s2")
+    now = stored(now.join(mixed, "bucket", "left_semi").join(sketch, "rep"), "mixed")
     x, y = now.where(f"n <= {small}").alias("x"), now.where(f"n <= {small}").alias("y")
-    near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    large = stored(now.where(f"n > {small}").select("rep", "c").distinct(), "large")
+    near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & F.expr(_alike("x.", "y.", percent))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    large = stored(now.where(f"n > {small}").select("rep", "c", "s1", "s2").distinct(), "large")
     if large.take(1):
         near = near.unionByName(_prefix_pairs(docs, key, text, large, k, percent)).distinct()
     rest = stored(near.join(tried, ["a", "b"], "left_anti"), "rest")
@@ -256,7 +301,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             found = components(links.unionByName(more))
 
     named = classes.select("digest", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = base.drop("bands").join(named, "digest", "left")
+    out = base.select("id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id")).select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
