@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.components import components
-from millrace.llm.store import stored
+from millrace.llm.store import batches_of, stored
 from millrace.llm.textwords import U, gram_hashes, mix, word_table, words
 
 BANDS, ROWS = 32, 4
 #: Members up to which a bucket's cross-component pairs are compared directly.
 SMALL = 40
+#: Rows in an Arrow batch: a row may hold two shingle sets.
+BATCH_ROWS = 1000
 #: Ids that are broadcast to filter the documents, at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: log2 of the counters that order shingles by rarity.
@@ -277,32 +279,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     are one document for linking and are returned each.  Other columns are
     never read.  An empty table gives an empty table.
     """
-    base = stored(signed(docs, key, text, k, bands, rows), "signatures")
-    usable = base.where("id IS NOT NULL AND n_shingles > 0")
-    classes = stored(usable.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("bands", *SKETCH))), "classes")
-    entries = classes.select("rep", F.explode("bands").alias("bucket"))
-    heads = entries.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members = stored(entries.join(heads, "bucket"), "members")
-
-    met = stored(members.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "met")
-    tried = stored(_likely(met, classes, percent), "pairs")
-    links = stored(confirmed(docs, tried, key, text, k, percent), "confirmed")
-    found = components(links)
-
-    now = members.where("n > 2").join(found.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    mixed = now.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("bucket")
-    sketch = classes.select("rep", *SKETCH)
-    now = stored(now.join(mixed, "bucket", "left_semi").join(sketch, "rep"), "mixed")
-    x, y = now.where(f"n <= {small}").alias("x"), now.where(f"n <= {small}").alias("y")
-    near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & F.expr(_alike("x.", "y.", percent))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    large = stored(now.where(f"n > {small}").select("rep", "c", *SKETCH).distinct(), "large")
-    if large.take(1):
-        near = near.unionByName(_prefix_pairs(docs, key, text, large, k, percent)).distinct()
-    rest = stored(near.join(tried, ["a", "b"], "left_anti"), "rest")
-    if rest.take(1):
-        more = stored(confirmed(docs, rest, key, text, k, percent), "confirmed")
-        if more.take(1):
-            found = components(links.unionByName(more))
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        base = stored(signed(docs, key, text, k, bands, rows), "signatures")
+        usable = base.where("id IS NOT NULL AND n_shingles > 0")
+        classes = stored(usable.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("bands", *SKETCH))), "classes")
+        entries = classes.select("rep", F.explode("bands").alias("bucket"))
+        heads = entries.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
+        members = stored(entries.join(heads, "bucket"), "members")
+
+        met = stored(members.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "met")
+        tried = stored(_likely(met, classes, percent), "pairs")
+        links = stored(confirmed(docs, tried, key, text, k, percent), "confirmed")
+        found = components(links)
+
+        now = members.where("n > 2").join(found.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+        mixed = now.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("bucket")
+        sketch = classes.select("rep", *SKETCH)
+        now = stored(now.join(mixed, "bucket", "left_semi").join(sketch, "rep"), "mixed")
+        x, y = now.where(f"n <= {small}").alias("x"), now.where(f"n <= {small}").alias("y")
+        near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & F.expr(_alike("x.", "y.", percent))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+        large = stored(now.where(f"n > {small}").select("rep", "c", *SKETCH).distinct(), "large")
+        if large.take(1):
+            near = near.unionByName(_prefix_pairs(docs, key, text, large, k, percent)).distinct()
+        rest = stored(near.join(tried, ["a", "b"], "left_anti"), "rest")
+        if rest.take(1):
+            more = stored(confirmed(docs, rest, key, text, k, percent), "confirmed")
+            if more.take(1):
+                found = components(links.unionByName(more))
 
     named = classes.select("digest", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = base.select("id", "n_shingles", "digest").join(named, "digest", "left")

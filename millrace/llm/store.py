@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators.iterate import scratch
 
@@ -16,3 +18,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for what runs inside: bounds the memory of wide rows on both sides of Python."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
