@@ -9,7 +9,8 @@ filters at its first shared word; survivors are verified on the words
 themselves.  A line goes if an earlier line (by document id, then line number)
 matches it.
 
-Lines with equal sets are one class, so copies never meet.  A line that passes
+Lines with equal sets are one class, so copies never meet; lines too short to be
+similar to any other set (up to three words at 80 %) meet no line at all.  A line that passes
 the filters with the earliest line of a word is compared with that one first;
 only where this fails is it compared with the others.  So a word with many
 near-equal lines costs their number, not its square.
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from millrace.llm.store import stored
 
 PERCENT = 80
-#: Lines with fewer distinct words stay, whatever they repeat.
-MIN_WORDS = 5
+#: Lines with fewer distinct words (blank ones) stay.
+MIN_WORDS = 1
 #: log2 of the counters that order words by rarity: a table of one byte each, of fixed size.
 COUNTER_BITS = 17
 #: Rows that are broadcast to the documents, at most; more are joined by a shuffle.
@@ -123,8 +124,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     lines = stored(lines.select("id", "h", "no", "n", "b", "is_first", F.when(F.col("is_first"), F.col("prefix")).alias("prefix")), "lines")
 
     # A row for each prefix word of each class, dealt out by the word once; the length and the word's place share a number.
+    # A set of n words is n / (n + 1) similar to another one at most, so shorter classes have no pairs.
     # No side's plan differs below the exchange (hence the filter, which a join would add to its sides alone), so it is made once.
-    spread = lines.where("is_first").select("id", "no", "n", "b", F.posexplode("prefix").alias("i", "token")).where("token IS NOT NULL AND id IS NOT NULL AND no IS NOT NULL AND b IS NOT NULL")
+    spread = lines.where("is_first").where(f"100 * n >= {percent} * (n + 1)").select("id", "no", "n", "b", F.posexplode("prefix").alias("i", "token")).where("token IS NOT NULL AND id IS NOT NULL AND no IS NOT NULL AND b IS NOT NULL")
     entries = spread.select("token", "id", "no", F.expr("shiftleft(CAST(n AS BIGINT), 32) | i").alias("ni"), "b").where("ni IS NOT NULL").repartition("token")
     line = F.struct("id", "no", "ni", "b")
     met = entries.select("token", line.alias("x"), F.min(line).over(Window.partitionBy("token")).alias("head")).where("(x.id, x.no) <> (head.id, head.no)")
@@ -153,8 +155,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", per
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, count: str | None = None) -> DataFrame:
     """``docs`` with later matches removed from ``text``; ``count`` names an added column with how many lines went.
 
-    Lines end at \\n; words are lower-cased and part at white space.  Lines with
-    fewer than MIN_WORDS distinct words stay.  A null text stays null and an
+    Lines end at \\n; words are lower-cased and part at white space.  Lines without
+    a word stay.  A null text stays null and an
     empty one empty; a document that loses every line keeps an empty text.  A
     row with a null key keeps all lines and removes none.  Rows that share a
     key are one document: their lines at equal places are not later than each

@@ -259,6 +259,14 @@ def test_line_dedup(spark, docs):
     assert {i: sorted(v, key=str) for i, v in got.items()} == brute_lines(items(rows))
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Every line with a word takes part: copies of one to four words go, and four words match five."""
+    rows = [(1, "Contents\n\nno no no no no no\na b c\np q r s\nPage 1"), (2, "contents\n \nno\na b c d\np q r s t\npage 2"), (3, "CONTENTS\n\nc b a a\nnew\npage  1\nb c a d")]
+    made = linededup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), count="n_removed")
+    left = {r.doc_id: (r.text, r.n_removed) for r in made.collect()}
+    assert left == {1: (rows[0][1], 0), 2: (" \na b c d\npage 2", 3), 3: ("\nnew", 4)}
+
+
 def test_line_dedup_of_nothing(spark):
     assert linededup.without_repeated_lines(spark.createDataFrame([], EMPTY)).count() == 0
     with pytest.raises(ValueError):
