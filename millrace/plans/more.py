@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import graphs as G
 from millrace.operators import relational as R
 from millrace.operators.iterate import cut, scratch
+from millrace.plans import graphs
 from millrace.plans.registry import query, r6
 from millrace.sources import registry, sinks, text
 from millrace.streaming import streams as S
@@ -67,6 +68,14 @@ def t04(t):
 @query("G26_frontier_sizes", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 400 AS src, (o_orderkey * 7) % 400 AS dst FROM orders WHERE o_orderkey < 900), b(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM b JOIN e ON src = node WHERE depth < 40), d AS (SELECT node, min(depth) AS depth FROM b GROUP BY 1) SELECT depth, count(DISTINCT dst) AS pushed FROM d JOIN e ON src = node GROUP BY 1")
 def g26(t):
     """How many distinct nodes each level's frontier pushes."""
-    e = cut(t.orders.where("o_orderkey < 900").select((F.col("o_custkey") % 400).alias("src"), ((F.col("o_orderkey") * 7) % 400).alias("dst")).distinct())
+    return _pushed(cut(t.orders.where("o_orderkey < 900").select((F.col("o_custkey") % 400).alias("src"), ((F.col("o_orderkey") * 7) % 400).alias("dst")).distinct()))
+
+
+@query("G26_frontier_sizes_whole")
+def g26w(t):
+    return _pushed(cut(graphs.whole_orders(t)))
+
+
+def _pushed(e):
     levels = G.bfs(e, 0)
     return levels.join(e, levels.node == e.src).groupBy("depth").agg(F.count_distinct("dst").alias("pushed"))
