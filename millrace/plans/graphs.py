@@ -91,6 +91,13 @@ def g06(t):
     return G.all_pairs(_edges(t).where("src < 120 AND dst < 120"))
 
 
+@query("G06_all_pairs_whole")
+def g06w(t):
+    """Nations, joined by all that is sold from one to another; an edge weighs its quantity."""
+    sold = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    nation = lambda c: F.col(c).cast("bigint")
+    return G.all_pairs(sold.groupBy(nation("s_nationkey").alias("src"), nation("c_nationkey").alias("dst")).agg(F.sum("l_quantity").alias("weight")))
+
 
 def _pagerank_sql(rounds: int) -> str:
     first = "SELECT node, 1.0 / (SELECT count(*) FROM n) AS rank FROM n"
@@ -167,6 +174,11 @@ def u07(t):
     return G.connected_components(_edges(t).where("src < 120 AND dst < 120"))
 
 
+@query("U07_components_whole")
+def u07w(t):
+    return G.connected_components(G.cut(whole_orders(t)))
+
+
 _M = "m AS (SELECT l_partkey % 200 AS i, l_suppkey % 50 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
 
 
@@ -262,12 +274,14 @@ def g18(t):
 
 @query("G25_matching")
 def g25(t):
-    pairs = L.bipartite_matching(_edges(t).where("src < 60 AND dst < 60"))
+    """Brands matched to sizes of their parts."""
+    brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("bigint")
+    pairs = L.bipartite_matching(t.part.select(brand.alias("src"), F.col("p_size").cast("bigint").alias("dst")))
     return t.spark.createDataFrame(sorted(pairs.items()), "src long, dst long")
 
 
 @query("E08_least_squares")
 def e08(t):
-    m = G.cut(_matrix(t).where("i < 60 AND j < 8"))
-    x = L.least_squares(m, _vector(t, 60), 60, 8, low=0.0)
+    m = G.cut(_matrix(t))
+    x = L.least_squares(m, _vector(t, 200), 200, 50, low=0.0)
     return t.spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(x)], "j long, x double")

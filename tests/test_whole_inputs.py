@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from conftest import TESTDATA
 
@@ -104,3 +105,60 @@ def test_sets_colours_and_forest_of_all_orders(spark, graph):
             root[find(a)] = find(b)
             total += w
     assert sum(r[2] for r in _rows(spark, "G13_spanning_forest")) == total
+
+
+def test_components_of_all_orders(spark, graph):
+    least = {x: x for e in graph for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in graph:
+            if least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    assert dict(_rows(spark, "U07_components_whole")) == least
+
+
+def test_distances_of_nations(spark, duck):
+    sql = "SELECT s_nationkey, c_nationkey, sum(l_quantity) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"
+    far = defaultdict(lambda: math.inf) | {(a, b): float(w) for a, b, w in duck.sql(sql).fetchall() if a != b}
+    nodes = sorted({x for e in far for x in e})
+    for k in nodes:
+        for a in nodes:
+            for b in nodes:
+                if a != b:
+                    far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+    made = {(a, b): d for a, b, d in _rows(spark, "G06_all_pairs_whole")}
+    assert made.keys() == {e for e, d in far.items() if d < math.inf}
+    assert all(math.isclose(d, far[e]) for e, d in made.items())
+
+
+def test_matching_of_all_parts(spark, duck):
+    edges = {(int(b.split("#")[1]), s) for b, s in duck.sql("SELECT DISTINCT p_brand, p_size FROM part").fetchall()}
+    held = {}
+
+    def placed(a, seen):
+        for b in {y for x, y in edges if x == a} - seen:
+            seen.add(b)
+            if b not in held or placed(held[b], seen):
+                held[b] = a
+                return True
+        return False
+
+    most = sum(placed(a, set()) for a in sorted({a for a, _ in edges}))
+    made = _rows(spark, "G25_matching")
+    assert set(made) <= edges
+    assert len(made) == len({a for a, _ in made}) == len({b for _, b in made}) == most
+
+
+def test_least_squares_of_the_whole_matrix(spark, duck):
+    """At the least sum, no free entry has a slope and no entry at 0 has a falling one."""
+    m = np.zeros((200, 50))
+    for i, j, v in duck.sql("SELECT l_partkey % 200, l_suppkey % 50, sum(l_quantity) FROM lineitem GROUP BY ALL").fetchall():
+        m[i, j] = v
+    x = np.array([v for _, v in sorted(_rows(spark, "E08_least_squares"))])
+    assert x.shape == (50,) and (x >= 0).all()
+    right = np.arange(200) % 5 + 1.0
+    slope = m.T @ (m @ x - right) / (m.T @ right).max()
+    assert (slope > -1e-3).all()
+    assert (np.abs(slope[x > 0]) < 1e-3).all()
