@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from millrace.operators.iterate import cut, settled
 
 
-def bfs(edges: DataFrame, source, max_depth: int = 50) -> DataFrame:
-    """(node, depth) of every node reachable from ``source``."""
+def bfs(edges: DataFrame, source, max_depth: int = 10_000) -> DataFrame:
+    """(node, depth) of every node reachable from ``source``; RuntimeError if any may be beyond ``max_depth``."""
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType
     seen = spark.createDataFrame([(source, 0)], "node long, depth int").withColumn("node", F.col("node").cast(kind))
@@ -23,9 +23,9 @@ def bfs(edges: DataFrame, source, max_depth: int = 50) -> DataFrame:
         nxt = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
         frontier = cut(nxt.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.take(1):
-            break
+            return seen
         seen = cut(seen.unionByName(frontier))
-    return seen
+    raise RuntimeError("bfs: not settled")
 
 
 def shortest_paths(edges: DataFrame, source, max_rounds: int = 100) -> DataFrame:
@@ -147,7 +147,7 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("spanning_forest: not settled")
 
 
-def betweenness(edges: DataFrame, source, max_depth: int = 50) -> DataFrame:
+def betweenness(edges: DataFrame, source, max_depth: int = 10_000) -> DataFrame:
     """(node, dependency) of one source: path counts forward by level, dependencies backward."""
     levels = cut(bfs(edges, source, max_depth))
     up = levels.select(F.col("node").alias("src"), F.col("depth").alias("d1"))
@@ -169,8 +169,8 @@ def betweenness(edges: DataFrame, source, max_depth: int = 50) -> DataFrame:
     return dep
 
 
-def refined(cells: DataFrame, value: str, threshold: float, parts: int = 4, max_depth: int = 20) -> DataFrame:
-    """Cells (id, depth, value) split into ``parts`` of value / parts while the value is above the threshold."""
+def refined(cells: DataFrame, value: str, threshold: float, parts: int = 4, max_depth: int = 64) -> DataFrame:
+    """Cells (id, depth, value) split into ``parts`` of value / parts while the value is above the threshold (RuntimeError if it still is after ``max_depth`` rounds)."""
     open_, done = cut(cells.withColumn("depth", F.lit(0))), None
     for _ in range(max_depth):
         ready = open_.where(F.col(value) <= threshold)
@@ -179,7 +179,7 @@ def refined(cells: DataFrame, value: str, threshold: float, parts: int = 4, max_
         open_ = cut(more.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("id", F.col("id") * parts + F.col("_k")).withColumn(value, F.col(value) / parts).withColumn("depth", F.col("depth") + 1).drop("_k"))
         if not open_.take(1):
             return done
-    return done.unionByName(open_)
+    raise RuntimeError("refined: not settled")
 
 
 def _undirected(edges: DataFrame) -> DataFrame:

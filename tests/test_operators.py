@@ -103,6 +103,22 @@ def test_betweenness_against_counting(graph):
     assert all(math.isclose(got[k], dep[k], abs_tol=1e-9) for k in dep)
 
 
+def test_bfs_follows_a_long_path_or_raises(spark):
+    df = spark.createDataFrame([(k, k + 1) for k in range(55)], "src long, dst long")
+    assert {(r.node, r.depth) for r in G.bfs(df, 0).collect()} == {(k, k) for k in range(56)}
+    with pytest.raises(RuntimeError):
+        G.bfs(df, 0, max_depth=3)
+    with pytest.raises(RuntimeError):
+        G.betweenness(df, 0, max_depth=3)
+
+
+def test_refined_raises_where_cells_stay_above(spark):
+    df = spark.createDataFrame([(0, 100.0)], "id long, value double")
+    assert {r.value for r in G.refined(df, "value", 2.0).collect()} == {100.0 / 64}
+    with pytest.raises(RuntimeError):
+        G.refined(df, "value", 2.0, max_depth=2)
+
+
 def test_shortest_paths_of_a_negative_cycle_end(spark):
     df = spark.createDataFrame([(0, 1, 1.0), (1, 0, -2.0)], "src long, dst long, weight double")
     with pytest.raises(RuntimeError):
