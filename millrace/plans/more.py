@@ -40,6 +40,18 @@ def j17(t):
     return R.substring_matches(q, r, "qid", "rid", "url", 9)
 
 
+@query(
+    "J17_substring_matches_whole",
+    """WITH r AS (SELECT page_id, i, substring(url, CAST(i + 1 AS INTEGER), 9) AS g FROM pages, LATERAL (SELECT unnest(range(length(url) - 8)) AS i) WHERE length(url) >= 9),
+       p AS (SELECT q.page_id AS qid, r.page_id AS rid, q.i AS a, r.i AS b FROM r q JOIN r USING (g) WHERE q.page_id < 12), n AS (SELECT *, a - row_number() OVER (PARTITION BY qid, rid, a - b ORDER BY a) AS k FROM p)
+       SELECT qid, rid, CAST(min(a) AS INTEGER) AS qpos, CAST(min(b) AS INTEGER) AS rpos, count(*) + 8 AS length FROM n GROUP BY qid, rid, a - b, k""",
+)
+def j17w(t):
+    """The first twelve pages are searched for in every page."""
+    q = t.pages.where("page_id < 12").select(F.col("page_id").alias("qid"), "url")
+    return R.substring_matches(q, t.pages.select(F.col("page_id").alias("rid"), "url"), "qid", "rid", "url", 9)
+
+
 @query("K05_line_profile_sink", "SELECT 'a.cu' AS source, CAST(l_linenumber AS INTEGER) AS line, CAST(sum(l_quantity) AS BIGINT) AS q, count(*) AS n FROM lineitem GROUP BY 2")
 def k05(t):
     profile = t.lineitem.groupBy(F.lit("a.cu").alias("source"), F.col("l_linenumber").alias("line")).agg(F.sum("l_quantity").cast("bigint").alias("q"), F.count("*").alias("n"))

@@ -162,3 +162,12 @@ def test_least_squares_of_the_whole_matrix(spark, duck):
     slope = m.T @ (m @ x - right) / (m.T @ right).max()
     assert (slope > -1e-3).all()
     assert (np.abs(slope[x > 0]) < 1e-3).all()
+
+
+def test_substrings_are_searched_in_every_page(spark, duck):
+    """Beyond the pages up to 40, and the queries' own."""
+    [(n,)] = duck.sql("SELECT count(*) FROM pages WHERE length(url) >= 9").fetchall()
+    made = _rows(spark, "J17_substring_matches_whole")
+    assert max(r[1] for r in made) >= 40
+    assert {(q, q) for q in range(12)} <= {r[:2] for r in made}
+    assert len({r[1] for r in made}) <= n
