@@ -251,6 +251,20 @@ def g22(t):
     return L.block_match(current, reference, 4).select("block", F.col("shift").cast("bigint").alias("shift"), "sad")
 
 
+@query(
+    "G22_block_match_whole",
+    """WITH c AS (SELECT event_id // 16 AS block, event_id AS pos, CAST(floor(value) AS BIGINT) AS v FROM events), f AS (SELECT block, count(*) AS size FROM c GROUP BY 1),
+       s AS (SELECT block, shift, sum(abs(c.v - r.v)) AS sad, count(*) AS n FROM c CROSS JOIN (SELECT range - 4 AS shift FROM range(9)) JOIN (SELECT pos, v FROM c) r ON r.pos = c.pos + shift + 3 GROUP BY 1, 2)
+       SELECT block, arg_min(shift, (sad, abs(shift), shift)) AS shift, CAST(min(sad) AS BIGINT) AS sad FROM s JOIN f USING (block) WHERE n = size GROUP BY 1""",
+)
+def g22w(t):
+    """All events are blocks and reference."""
+    value = F.floor("value").cast("bigint")
+    current = t.events.select(F.floor(F.col("event_id") / 16).alias("block"), F.col("event_id").alias("pos"), value.alias("v"))
+    reference = t.events.select((F.col("event_id") - 3).alias("pos"), value.alias("v"))
+    return L.block_match(current, reference, 4).select("block", F.col("shift").cast("bigint").alias("shift"), "sad")
+
+
 @query("G23_triad", "SELECT l_orderkey, l_linenumber, round(l_quantity + 3.0 * l_tax, 6) AS v FROM lineitem")
 def g23(t):
     return L.triad(t.lineitem, "l_quantity", "l_tax", 3.0, "v").select("l_orderkey", "l_linenumber", r6(F.col("v")).alias("v"))

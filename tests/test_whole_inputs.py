@@ -171,3 +171,8 @@ def test_substrings_are_searched_in_every_page(spark, duck):
     assert max(r[1] for r in made) >= 40
     assert {(q, q) for q in range(12)} <= {r[:2] for r in made}
     assert len({r[1] for r in made}) <= n
+
+
+def test_blocks_of_all_events(spark, duck):
+    [(n,)] = duck.sql("SELECT max(event_id) // 16 FROM events").fetchall()
+    assert {r[0] for r in _rows(spark, "G22_block_match_whole")} >= set(range(1, n - 1))
