@@ -85,7 +85,15 @@ def s10(t):
 
 @query("S11_profiler_cycles", "SELECT CAST(p_partkey + 1 AS INTEGER) AS kernel_id, CAST(p_size * 1234 AS DOUBLE) AS cycles FROM part WHERE p_partkey < 300")
 def s11(t):
-    p = t.part.where("p_partkey < 300")
+    return _profiler_cycles(t, t.part.where("p_partkey < 300"))
+
+
+@query("S11_profiler_cycles_whole", "SELECT CAST(p_partkey + 1 AS INTEGER) AS kernel_id, CAST(p_size * 1234 AS DOUBLE) AS cycles FROM part")
+def s11w(t):
+    return _profiler_cycles(t, t.part)
+
+
+def _profiler_cycles(t, p):
     body = p.select((F.col("p_partkey") + 100).alias("no"), F.concat(F.lit('"'), "p_partkey", F.lit('","cycle","'), F.format_number(F.col("p_size") * 1234, 0), F.lit('"')).alias("line"))
     head = t.spark.createDataFrame([(0, "noise"), (1, '"9","cycle","1"'), (2, "==PROF== Disconnected from process 7"), (3, '"ID","Metric","Value"')], "no long, line string")
     return text.profiler_cycles(_lines(head.unionByName(body), F.col("line"))).select("kernel_id", "cycles")

@@ -176,3 +176,11 @@ def test_substrings_are_searched_in_every_page(spark, duck):
 def test_blocks_of_all_events(spark, duck):
     [(n,)] = duck.sql("SELECT max(event_id) // 16 FROM events").fetchall()
     assert {r[0] for r in _rows(spark, "G22_block_match_whole")} >= set(range(1, n - 1))
+
+
+def test_cycles_of_all_parts(spark):
+    """sf0.01 has parts beyond 300."""
+    folder = TESTDATA.replace("sf0.001", "sf0.01")
+    n = spark.read.parquet(f"{folder}/part.parquet").count()
+    assert n > 300
+    assert QUERIES["S11_profiler_cycles_whole"](spark, folder).count() == n
