@@ -113,6 +113,15 @@ def s13(t):
     return text.power_report(_lines(at.withColumn("no", F.col("n_nationkey") * 20 + F.col("k")), line), 5, 9).select("kernel_name", "counter", "watts")
 
 
+@query("S14_app_suites", "SELECT r_name AS suite, n_name AS exec, CASE WHEN n_nationkey % 3 <> 0 THEN '-n ' || k END AS args FROM nation JOIN region ON n_regionkey = r_regionkey, LATERAL (SELECT range AS k FROM range(CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE n_nationkey % 3 END))")
+def s14(t):
+    """A suite for each region, a program for each nation, with none to two lines of arguments."""
+    args = F.concat_ws(", ", F.transform(F.expr("slice(array(0, 1), 1, CAST(n_nationkey % 3 AS INT))"), lambda k: F.concat(F.lit("'-n "), k.cast("string"), F.lit("'"))))
+    program = F.concat(F.lit("    - "), "n_name", F.lit(": ["), args, F.lit("]"))
+    suites = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.concat_ws("\n", F.collect_list(program)).alias("programs"))
+    return text.app_suites("\n".join(f"{r.r_name}:\n  execs:\n{r.programs}" for r in suites.collect()), t.spark)
+
+
 @query("S15_gr_graph", "SELECT o_custkey AS src, o_orderkey AS dst, CAST(o_totalprice AS BIGINT) AS weight FROM orders")
 def s15(t):
     o = t.orders

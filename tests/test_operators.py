@@ -248,6 +248,11 @@ def test_files_and_sinks(spark, tmp_path):
     sinks.discard(df)
 
 
+def test_app_suites(spark):
+    made = text.app_suites("one:\n  execs:\n    - a: ['-x 1', 2]\n    - b:\ntwo:\n", spark)
+    assert {tuple(r) for r in made.collect()} == {("one", "a", "-x 1"), ("one", "a", "2"), ("one", "b", None)}
+
+
 def test_scheduling_prefers_the_open_row(spark):
     rows = [("a", 0, 1, 5), ("a", 0, 2, 6), ("a", 0, 3, 5), ("a", 50, 4, 6)]
     df = spark.createDataFrame(rows, "bank string, at long, idx long, row long")
