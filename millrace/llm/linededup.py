@@ -1,19 +1,24 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
-A line is the set of its words.  Words are ordered by rarity (how often their
-counter was hit over the whole corpus, then a hash), and each line is indexed
-under its first n - ceil(t n) + 1 words only.  Lines that share such a word meet
-if their lengths, what is left from that word on (position), and a bitmap of
-their words allow a similarity of t.  Every pair of similarity t passes these
-filters at its first shared word; survivors are verified on the words
-themselves.  A line goes if an earlier line (by document id, then line number)
-matches it.
-
-Lines with equal sets are one class, so copies never meet; lines too short to be
-similar to any other set (up to three words at 80 %) meet no line at all.  A line that passes
-the filters with the earliest line of a word is compared with that one first;
-only where this fails is it compared with the others.  So a word with many
-near-equal lines costs their number, not its square.
+A line is the set of its words, kept as 63-bit keys: seven bits of rarity (how
+often the word's counter was hit over the whole corpus), then 56 of a hash.  Keys
+are ordered by rarity, and each line is indexed under its first n - ceil(t n) + 1
+keys only.  Lines that share such a key meet if their lengths, what is left from
+that key on (position), and a bitmap of their keys allow a similarity of t.
+Every pair of similarity t passes these filters at its first shared key; survivors
+are verified on all keys.  A line goes if an earlier line (by document id, then
+line number) matches it.
+
+Lines with equal sets (equal 128-bit digests of the sorted keys) are one class, so
+copies never meet; lines too short to be similar to any other set (up to three
+words at 80 %) meet no line at all.  A key's lines are dealt out by length too: a
+line stands in the band of lengths that holds its own, and where longer partners
+may lie in the next band, in that one as well; two lines meet in the higher of
+their bands.
+
+A line that passes the filters with the earliest line of a key and band is compared
+with that one first; only the lines that this leaves open are compared with all
+others.  So a word with many near-equal lines costs their number, not its square.
 """
 
 from __future__ import annotations
@@ -21,20 +26,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.store import stored
+from millrace.llm.store import discard, stored
 
 PERCENT = 80
 #: Lines with fewer distinct words (blank ones) stay.
 MIN_WORDS = 1
 #: log2 of the counters that order words by rarity: a table of one byte each, of fixed size.
-COUNTER_BITS = 17
+COUNTER_BITS = 18
+#: Distinct words from which a line has a second half of its bitmap.
+LONG = 64
 #: Rows that are broadcast to the documents, at most; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
-def _words(text: Column) -> Column:
-    """Lower-cased words between white space; the first or the last may be empty."""
-    return F.split(F.lower(text), r"\s+")
+def _words(line: Column) -> Column:
+    """Lower-cased words between white space, some of them empty."""
+    low = F.lower(line)
+    return F.when(line.rlike("[\\t\\x0b\\f\\r]"), F.split(low, r"\s+")).otherwise(F.split(low, " "))
 
 
 def _counter(h: Column) -> Column:
@@ -43,11 +51,16 @@ def _counter(h: Column) -> Column:
 
 def rarity(docs: DataFrame, text: str) -> Column:
     """A binary literal: of each counter, 1 to 127 as its count's logarithm grows, counted over all words of all rows."""
-    counts = docs.select(F.explode(_words(F.col(text))).alias("w")).groupBy(_counter(F.xxhash64("w")).alias("c")).agg(F.count("*").alias("n"))
-    levels = counts.select("c", F.least(F.lit(127), 1 + F.floor(4 * F.log2("n"))).cast("int").alias("level"))
+    part = 64
+    line = docs.select(F.explode(F.split(text, "\n")).alias("line"))
+    words = line.select(F.explode(F.split(F.lower("line"), " ")).alias("w"))
+    counts = words.groupBy(_counter(F.xxhash64("w")).alias("c")).agg(F.count("*").alias("n"))
+    level = F.least(F.lit(127), 1 + F.floor(4 * F.log2("n"))).cast("int")
+    held = counts.groupBy(F.floor(F.col("c") / part).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("c") % part, level))).alias("m"))
+    run = F.transform(F.sequence(F.lit(0), F.lit(part - 1)), lambda k: F.char(F.coalesce(F.element_at("m", k), F.lit(1))))
     table = bytearray(b"\1") * (1 << COUNTER_BITS)
-    for r in levels.toLocalIterator():  # a row for each counter at most
-        table[r["c"]] = r["level"]
+    for r in held.select("part", F.array_join(run, "").alias("run")).toLocalIterator():  # 64 counters a row
+        table[r["part"] * part : (r["part"] + 1) * part] = r["run"].encode("latin-1")
     return F.lit(bytes(table))
 
 
@@ -56,100 +69,147 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
 
 
-def _set(line: Column) -> Column:
-    """The distinct words of a line."""
-    return F.array_distinct(F.array_remove(_words(line), ""))
+def _keyed(lines: DataFrame, rank: Column) -> DataFrame:
+    """``lines`` with k for the line: the distinct words' keys, rarest first."""
 
+    def number(h: Column) -> Column:
+        level = F.ascii(F.substring(rank, _counter(h) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-def _hashes(line: Column) -> Column:
-    """The hashes of the distinct words of a line."""
-    empty = F.xxhash64(F.lit(""))
-    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), empty)
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    rest = [c for c in lines.columns if c != "line"]
+    return lines.select(*rest, F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("k")).select(*rest, F.sort_array(F.transform("k", number)).alias("k"))
 
 
-def _keys(rank: Column) -> Column:
-    """Hashes as sorted numbers, rarest first: 7 bits of rank, 56 of hash."""
+def _digest() -> list[Column]:
+    return [F.xxhash64("k").alias("d1"), F.xxhash64(F.lit(1), "k").alias("d2")]
 
-    def number(h: Column) -> Column:
-        level = F.ascii(F.substring(rank, _counter(h) + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.transform("hashes", number))
+def _bitmap(half: int) -> Column:
+    """64 bits, one for each key whose bit 6 is ``half``, chosen by its six lowest bits: k words that two sets do not share differ in k bits of both halves at most.
 
+    The second half is made for sets of ``LONG`` words and more, which fill the first.
+    """
+    one = F.lit(1).cast("bigint")
+    sixth = lambda k: F.shiftright(k, 6) if half else F.bitwise_not(F.shiftright(k, 6))
+    bit = lambda k: F.call_function("shiftleft", sixth(k).bitwiseAND(one), k.bitwiseAND(F.lit(63)).cast("int"))
+    keys = F.col("k") if half else F.slice("k", F.lit(1), F.when(F.size("k") >= LONG, F.size("k")).otherwise(0))
+    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseOR(bit(k)))
 
-def _bitmap() -> Column:
-    """64 bits, one for each key whose bit 6 is set, chosen by its six lowest bits: k words that two sets do not share differ in k bits at most."""
-    bit = lambda k: F.call_function("shiftleft", F.shiftright(k, 6).bitwiseAND(F.lit(1).cast("bigint")), k.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("k", F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseOR(bit(k)))
 
+def _band(n: Column) -> Column:
+    """floor(log2(n)) + 1, exactly."""
+    return F.length(F.bin(n.cast("bigint")))
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """Those of ``pairs`` (stored; a is earlier) whose word sets have 100 * intersection >= percent * union: distinct (id, no) of b."""
-    ends = stored(pairs.select(F.col("a_id").alias("id"), F.col("a_no").alias("no")).unionByName(pairs.select(F.col("b_id").alias("id"), F.col("b_no").alias("no"))).distinct(), "ends")
-    ids = ends.select("id").distinct()
-    ids = F.broadcast(ids) if ends.count() <= BROADCAST_ROWS else ids
-    some = docs.join(ids.withColumnRenamed("id", "_id"), F.col(key).cast("bigint") == F.col("_id"), "left_semi")
-    lines = _lines(some, key, text).join(ends, ["id", "no"], "left_semi").select("id", "no", _set(F.col("line")).alias("words"))
-    side = lambda s: lines.select(F.col("id").alias(f"{s}_id"), F.col("no").alias(f"{s}_no"), F.col("words").alias(s))
-    both = pairs.join(side("a"), ["a_id", "a_no"]).join(side("b"), ["b_id", "b_no"])
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select(F.col("b_id").alias("id"), F.col("b_no").alias("no")).distinct()
 
+def _entries(classes: DataFrame, percent: int, keys: str = "TRUE") -> DataFrame:
+    """(token, id, no, ni, b, b2): a row for each prefix key of each class, and one more where a longer partner lies in the next band.
+
+    token is of the key and the band; ni holds the length, the key's place, and
+    in its two lowest bits whether the line is open and whether the band is not
+    its own.  ``keys`` (SQL over ``key``) may leave out some keys.
+    """
+    n = F.col("n")
+    own, upper = _band(n), _band(F.floor(n * 100 / percent))
+    prefix = n - F.ceil(n * percent / 100) + 1
+    shorter = n - F.ceil(n * (2 * percent) / (100 + percent)) + 1  # as the shorter one of a pair
+    long_enough = classes.where(f"100 * n >= {percent} * (n + 1)")  # a set of n words is n / (n + 1) similar to another one at most
+
+    def spread(rows: DataFrame, length: Column, band: Column, extra: int) -> DataFrame:
+        at = rows.select("id", "no", "n", "b", "b2", "open", band.alias("band"), F.posexplode(F.slice("prefix", F.lit(1), length.cast("int"))).alias("i", "key")).where(keys)
+        ni = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("bigint"), 2)).bitwiseOR(F.col("open") * 2 + F.lit(extra).cast("bigint"))
+        return at.select(F.xxhash64("key", "band").alias("token"), "id", "no", ni.alias("ni"), "b", "b2")
 
-def _fits(percent: int, x: str, y: str) -> Column:
-    """Length, position and bitmap filters: none rejects two sets of the similarity at their first shared word."""
-    n = lambda s: f"shiftright({s}.ni, 32)"
-    left = lambda s: f"(shiftright({s}.ni, 32) - ({s}.ni & 4294967295L))"
+    return spread(long_enough, prefix, own, 0).unionByName(spread(long_enough.where(upper > own), shorter, upper, 1))
+
+
+_LINE = ("id", "no", "ni", "b", "b2")
+
+
+def _as(rows: DataFrame, side: str) -> DataFrame:
+    """token and the line's columns, named after the side of a join that they are on."""
+    return rows.select("token", *(F.col(c).alias(f"{side}_{c}") for c in _LINE))
+
+
+def _earlier(x: str, y: str) -> str:
+    return f"({x}_id < {y}_id OR ({x}_id = {y}_id AND {x}_no < {y}_no))"
+
+
+def _fits(percent: int, x: str, y: str) -> str:
+    """Length, position and bitmap filters: none rejects two sets of the similarity at their first shared key."""
+    n = lambda s: f"shiftright({s}_ni, 32)"
+    left = lambda s: f"(shiftright({s}_ni, 32) - shiftright({s}_ni & 4294967295L, 2))"
     length = f"100 * least({n(x)}, {n(y)}) >= {percent} * greatest({n(x)}, {n(y)})"
     position = f"{100 + percent} * least({left(x)}, {left(y)}) >= {percent} * ({n(x)} + {n(y)})"
-    bitmap = f"{100 + percent} * bit_count({x}.b ^ {y}.b) <= {100 - percent} * ({n(x)} + {n(y)})"
-    return F.expr(f"{length} AND {position} AND {bitmap}")
+    bitmap = f"{100 + percent} * bit_count({x}_b ^ {y}_b) <= {100 - percent} * ({n(x)} + {n(y)})"
+    both = f"(least({n(x)}, {n(y)}) < {LONG} OR {100 + percent} * (bit_count({x}_b ^ {y}_b) + bit_count({x}_b2 ^ {y}_b2)) <= {100 - percent} * ({n(x)} + {n(y)}))"
+    return f"({length} AND {position} AND {bitmap} AND {both})"
 
 
 _PAIR = ("a_id", "a_no", "b_id", "b_no")
 
 
 def _pair(earlier: str, later: str) -> list[Column]:
-    return [F.col(f"{s}.{c}").alias(n) for n, (s, c) in zip(_PAIR, ((earlier, "id"), (earlier, "no"), (later, "id"), (later, "no")), strict=True)]
+    return [F.col(c).alias(n) for c, n in zip((f"{earlier}_id", f"{earlier}_no", f"{later}_id", f"{later}_no"), _PAIR, strict=True)]
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, rank: Column, key: str, text: str, percent: int) -> DataFrame:
+    """Those of ``pairs`` (stored; a is earlier) whose word sets have 100 * intersection >= percent * union: distinct (id, no, d1) of b, stored."""
+    ends = stored(pairs.select(F.col("a_id").alias("id"), F.col("a_no").alias("no")).unionByName(pairs.select(F.col("b_id").alias("id"), F.col("b_no").alias("no"))).distinct(), "ends")
+    few = ends.count() <= BROADCAST_ROWS
+    shared = (lambda t: F.broadcast(t)) if few else (lambda t: t)
+    some = docs.join(shared(ends.select(F.col("id").alias("_id")).distinct()), F.col(key).cast("bigint") == F.col("_id"), "left_semi")
+    lines = _lines(some, key, text).join(shared(ends), ["id", "no"], "left_semi").select("id", "no", "line")
+    lines = stored(_keyed(lines, rank).distinct(), "keys")
+    side = lambda s: lines.select(F.col("id").alias(f"{s}_id"), F.col("no").alias(f"{s}_no"), F.col("k").alias(s))
+    both = pairs.join(side("a"), ["a_id", "a_no"]).join(side("b"), ["b_id", "b_no"])
+    common = F.size(F.array_intersect("a", "b"))
+    gone = both.where((100 + percent) * common >= percent * (F.size("a") + F.size("b"))).select(F.col("b_id").alias("id"), F.col("b_no").alias("no"), F.xxhash64("b").alias("d1")).distinct()
+    gone = stored(gone, "gone")
+    discard(ends, lines)
+    return gone
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = MIN_WORDS) -> DataFrame:
     """(id, h, no) of every line that goes; h is the hash of its document's text."""
+    rank = rarity(docs, text)
     n = F.size("k")
-    keyed = _lines(docs, key, text).withColumn("hashes", _hashes(F.col("line"))).where(F.size("hashes") >= MIN_WORDS).select("id", "h", "no", _keys(rarity(docs, text)).alias("k"))
-    prefix = F.slice("k", 1, n - F.ceil(n * percent / F.lit(100)).cast("int") + 1)
-    lines = keyed.select("id", "h", "no", F.xxhash64("k").alias("d"), n.alias("n"), _bitmap().alias("b"), prefix.alias("prefix"))
-    first = F.min(F.struct("id", "no")).over(Window.partitionBy("d", "n", "b"))
-    lines = lines.withColumn("first", first).withColumn("is_first", F.col("first") == F.struct("id", "no"))
-    lines = stored(lines.select("id", "h", "no", "n", "b", "is_first", F.when(F.col("is_first"), F.col("prefix")).alias("prefix")), "lines")
-
-    # A row for each prefix word of each class, dealt out by the word once; the length and the word's place share a number.
-    # A set of n words is n / (n + 1) similar to another one at most, so shorter classes have no pairs.
-    # No side's plan differs below the exchange (hence the filter, which a join would add to its sides alone), so it is made once.
-    spread = lines.where("is_first").where(f"100 * n >= {percent} * (n + 1)").select("id", "no", "n", "b", F.posexplode("prefix").alias("i", "token")).where("token IS NOT NULL AND id IS NOT NULL AND no IS NOT NULL AND b IS NOT NULL")
-    entries = spread.select("token", "id", "no", F.expr("shiftleft(CAST(n AS BIGINT), 32) | i").alias("ni"), "b").where("ni IS NOT NULL").repartition("token")
-    line = F.struct("id", "no", "ni", "b")
-    met = entries.select("token", line.alias("x"), F.min(line).over(Window.partitionBy("token")).alias("head")).where("(x.id, x.no) <> (head.id, head.no)")
-    others = entries.select("token", line.alias("y"))
-    earlier = F.expr("y.id < x.id OR (y.id = x.id AND y.no < x.no)")
-    near_head = met.where(_fits(percent, "x", "head")).select(*_pair("head", "x"))
-    far = met.where(~_fits(percent, "x", "head")).drop("head").join(others, "token").where(earlier & _fits(percent, "x", "y")).select(*_pair("y", "x"))
-    tried = stored(near_head.unionByName(far).distinct(), "pairs")
-    gone = stored(_confirmed(docs, tried, key, text, percent), "gone")
-
-    # Lines that were near the head of some word's lines and matched none so far: all earlier lines of their words.
-    open_ = stored(tried.select(F.col("b_id").alias("id"), F.col("b_no").alias("no")).distinct().join(gone, ["id", "no"], "left_anti"), "open")
-    few = open_.count() <= BROADCAST_ROWS
-    asked = spread.join(F.broadcast(open_) if few else open_, ["id", "no"], "left_semi").select("token", "id", "no", F.expr("shiftleft(CAST(n AS BIGINT), 32) | i").alias("ni"), "b")
-    asked = stored(asked, "asked")
-    tokens = asked.select("token").distinct()
-    near = spread.select("token", "id", "no", F.expr("shiftleft(CAST(n AS BIGINT), 32) | i").alias("ni"), "b").join(F.broadcast(tokens) if asked.count() <= BROADCAST_ROWS else tokens, "token", "left_semi")
-    rest = asked.select("token", line.alias("x")).join(near.select("token", line.alias("y")), "token").where(earlier & _fits(percent, "x", "y")).select(*_pair("y", "x")).distinct()
+    prefix = F.slice("k", F.lit(1), n - F.ceil(n * percent / F.lit(100)).cast("int") + 1)
+    keyed = _keyed(_lines(docs, key, text), rank)
+    keyed = stored(keyed.select("id", "h", "no", *_digest(), n.alias("n"), _bitmap(1).alias("b"), _bitmap(0).alias("b2"), prefix.alias("prefix")), "lines")
+    first = F.min(F.struct("id", "no", "n", "b", "b2", "prefix")).alias("first")
+    classes = stored(keyed.groupBy("d1", "d2").agg(first, F.count("*").alias("m")).where(F.col("first.n") >= max(least_words, 1)).select("d1", "d2", "m", "first.*"), "classes")
+    lines = stored(keyed.select("id", "h", "no", "d1", "d2"), "digests")
+    discard(keyed)
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    # every line with the earliest one of its key and band, for a quarter of the keys: near-equal lines share many
+    some = _entries(classes.withColumn("open", zero), percent, "key & 192 = 0")
+    head = F.min(F.struct(*_LINE)).over(Window.partitionBy("token"))
+    met = some.withColumn("head", head)
+    met = met.select(*(F.col(c).alias(f"x_{c}") for c in _LINE), *(F.col(f"head.{c}").alias(f"head_{c}") for c in _LINE))
+    tried = stored(met.where(f"{_earlier('head', 'x')} AND {_fits(percent, 'x', 'head')}").select(*_pair("head", "x")).distinct(), "pairs")
+    gone = _confirmed(docs, tried, rank, key, text, percent)
+
+    # every line that matched none of these with all earlier lines of its keys
+    few = gone.count() <= BROADCAST_ROWS
+    matched = gone.withColumn("open", zero)
+    entries = _entries(classes.join(F.broadcast(matched) if few else matched, ["id", "no", "d1"], "left").withColumn("open", F.coalesce("open", one)), percent)
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in entries.columns)
+    entries = entries.where(whole).repartition("token")  # neither side's plan differs below this exchange, so it is made once
+    # a filter that the optimizer does not move below the exchange: rand() is below 1
+    searched = entries.where(F.col("ni").bitwiseAND(F.lit(2)) + F.rand(0) >= 2)
+    meets = f"(x_ni & y_ni & 1) = 0 AND {_earlier('y', 'x')} AND {_fits(percent, 'x', 'y')}"
+    rest = _as(searched, "x").join(_as(entries, "y"), "token").where(meets).select(*_pair("y", "x")).distinct()
     rest = stored(rest.join(tried, list(_PAIR), "left_anti"), "rest")
-    if rest.take(1):
-        gone = stored(gone.unionByName(_confirmed(docs, rest, key, text, percent)).distinct(), "gone")
-    matched = lines.where("is_first").join(gone, ["id", "no"], "left_semi")
-    return lines.where("NOT is_first").unionByName(matched).select("id", "h", "no")
+    discard(tried)
+    gone = gone.unionByName(_confirmed(docs, rest, rank, key, text, percent)).withColumn("matched", F.lit(True))
+    discard(rest)
+
+    # of a class that matched all lines go, of another one all but the first
+    several = classes.select("id", "no", "d1", "d2", "m").join(gone, ["id", "no", "d1"], "left").where("m > 1 OR matched")
+    several = several.select("d1", "d2", F.col("id").alias("_id"), F.col("no").alias("_no"), "matched")
+    return lines.select("id", "h", "no", "d1", "d2").join(several, ["d1", "d2"]).where("matched OR id <> _id OR no <> _no").select("id", "h", "no")
 
 
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, count: str | None = None) -> DataFrame:

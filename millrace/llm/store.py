@@ -13,22 +13,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table of its own in the folder that ``spark.checkpoint.dir`` names, and read it again.
 
     What is read no longer depends on executors' memory or shuffle files.  The
-    table is deleted when the session's JVM ends; ``name`` says what it holds.
+    table is deleted by ``discard``, or when the session's JVM ends; ``name``
+    says what it holds.
     """
     path = f"{scratch(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _set(df.sparkSession, _FREE, "true"):
+        df.write.option("parquet.enable.dictionary", "false").parquet(path)  # most columns are hashes and ids
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned and that nothing reads any more."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: A query's shuffle files go when it ends: nothing reads them once its result is a table.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of at most ``rows`` rows for what runs inside: bounds the memory of wide rows on both sides of Python."""
-    before = spark.conf.get(_BATCH, None)
-    spark.conf.set(_BATCH, rows)
+def _set(spark: SparkSession, name: str, value):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for what runs inside: bounds the memory of wide rows on both sides of Python."""
+    return _set(spark, _BATCH, rows)
