@@ -2,14 +2,17 @@
 
 Signature: one permutation sigma scatters the shingles over 0..2**32-1; coordinate
 k is the least value of a second permutation pi, circularly shifted by k, so two
-permutations make all coordinates.  ``BANDS`` bands of ``ROWS`` coordinates give
-buckets; with 32 of 4, two sets of Jaccard similarity 0.8 share no bucket with
-probability 5e-8.
+permutations make all coordinates.  Bands of a few coordinates give buckets; at
+similarity 0.8 these are 31 of 4, and two such sets share no bucket with
+probability below 1e-7 (``MISSED``).
 
 A sketch of two bits of each of 256 coordinates (b-bit minwise hashing) says whether
 a pair is worth confirming: at similarity 0.8, 38 coordinates differ on average, with
 a standard deviation of 5.7; a pair is left out beyond six of these, which happens
-with probability below 1e-7.  Unrelated sets differ in 192.
+with probability below 1e-7.  Unrelated sets differ in 192.  Besides, each set has a
+parity sketch: every shingle flips one of 2,048 bits, so two sketches differ in no
+more bits than the sets differ in shingles, and a pair whose bits differ in more than
+a link allows is left out for certain.
 
 Links are searched without emitting the pairs of a bucket.  Documents with equal
 sets are one class.  (1) Each class is compared with the least id of each of
@@ -33,10 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.components import components
-from millrace.llm.store import batches_of, stored
+from millrace.llm.store import batches_of, discard, stored
 from millrace.llm.textwords import U, gram_hashes, mix, word_table, words
 
-BANDS, ROWS = 32, 4
+#: Of two sets of the stated similarity, the probability that they share no bucket; bands and rows follow from it.
+MISSED = 1e-7
+MOST_BANDS, MOST_ROWS = 128, 4
 #: Members up to which a bucket's cross-component pairs are compared directly.
 SMALL = 40
 #: Rows in an Arrow batch: a row may hold two shingle sets.
@@ -48,6 +53,11 @@ COUNTER_BITS = 20
 #: Coordinates whose two bits make the sketch, and the 64-bit numbers that hold them.
 SKETCHED = 256
 SKETCH = tuple(f"s{k}" for k in range(SKETCHED // 32))
+#: Bits of the parity sketch, and the 64-bit numbers that hold them.
+PARITY_BITS = 2048
+PARITY = tuple(f"o{k}" for k in range(PARITY_BITS // 64))
+#: What tells whether two classes are worth confirming.
+MARKS = ("n", *SKETCH, *PARITY)
 _TABLE = word_table("blank")
 _CHUNK = 1 << 15
 
@@ -111,6 +121,15 @@ def _minima(sets: list[np.ndarray], count: int) -> np.ndarray:
     return out.T
 
 
+def band_shape(percent: int) -> tuple[int, int]:
+    """(bands, rows): the most rows to a band whose bands miss a pair with probability ``MISSED`` at most; ValueError where there are none."""
+    for rows in range(MOST_ROWS, 0, -1):
+        bands = math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** rows))) if percent < 100 else 1
+        if bands <= MOST_BANDS:
+            return bands, rows
+    raise ValueError(f"a similarity of {percent} percent is too low for {MOST_BANDS} bands")
+
+
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(sets, bands) 64-bit bucket keys."""
     parts = sig.reshape(len(sig), bands, rows).astype(U)
@@ -128,6 +147,17 @@ def sketches(sig: np.ndarray) -> list[np.ndarray]:
     return [np.ascontiguousarray(packed[:, k]) for k in range(len(SKETCH))]
 
 
+def parities(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The numbers of PARITY for each set: which of PARITY_BITS slots hold an odd number of its shingles."""
+    out = np.zeros((len(sets), len(PARITY)), "<i8")
+    for at in range(0, len(sets), 64):
+        some = sets[at : at + 64]
+        slots = [(s & U(PARITY_BITS - 1)).astype(np.int64) + k * PARITY_BITS for k, s in enumerate(some)]
+        odd = (np.bincount(np.concatenate(slots), minlength=len(some) * PARITY_BITS) & 1).astype(np.uint8)
+        out[at : at + 64] = np.packbits(odd.reshape(len(some), -1), axis=1).view("<i8")
+    return [np.ascontiguousarray(out[:, k]) for k in range(len(PARITY))]
+
+
 def most_different(percent: int) -> int:
     """Sketched coordinates in which sets of a similarity differ, plus six standard deviations: 72 for 80 percent."""
     q = 0.75 * (1 - percent / 100)
@@ -135,21 +165,23 @@ def most_different(percent: int) -> int:
 
 
 def _alike(x: str, y: str, percent: int) -> str:
-    """SQL for: the sketches differ in few enough coordinates (a coordinate's two bits are neighbours)."""
+    """SQL for: parities and lengths allow a link, and the sketches differ in few enough coordinates (a coordinate's two bits are neighbours)."""
     pair = 0x5555555555555555
+    length = f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n)"
+    odd = " + ".join(f"bit_count({x}{o} ^ {y}{o})" for o in PARITY)
     differ = " + ".join(f"bit_count((({x}{s} ^ {y}{s}) | shiftrightunsigned({x}{s} ^ {y}{s}, 1)) & {pair}L)" for s in SKETCH)
-    return f"{differ} <= {most_different(percent)}"
+    return f"{length} AND {100 + percent} * ({odd}) <= {100 - percent} * ({x}n + {y}n) AND {differ} <= {most_different(percent)}"
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sketches are alike."""
-    of = lambda side: classes.select(F.col("rep").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in SKETCH))
+    """The (a, b) of ``pairs`` that may be linked."""
+    of = lambda side: classes.select(F.col("rep").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in MARKS))
     return pairs.join(of("a"), "a").join(of("b"), "b").where(_alike("a_", "b_", percent)).select("a", "b")
 
 
 def signed(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, digest of the set, bands, sketch) of each document; one narrow pass."""
-    schema = "id bigint, n_shingles bigint, digest binary, bands array<bigint>, " + ", ".join(f"{c} bigint" for c in SKETCH)
+    """(id, n_shingles, digest of the set, bands, sketches) of each document; one narrow pass."""
+    schema = "id bigint, n_shingles bigint, digest binary, bands array<bigint>, " + ", ".join(f"{c} bigint" for c in (*SKETCH, *PARITY))
 
     def run(batches):
         for batch in batches:
@@ -163,9 +195,9 @@ def signed(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int)
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())),
-                        *(pa.array(x) for x in sketch),
+                        *(pa.array(x) for x in (*sketch, *parities(sets))),
                     ],
-                    names=["id", "n_shingles", "digest", "bands", *SKETCH],
+                    names=["id", "n_shingles", "digest", "bands", *SKETCH, *PARITY],
                 )
 
     return docs.select(F.col(key).cast("bigint").alias("id"), text).mapInArrow(run, schema)
@@ -214,7 +246,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, k: int, pe
 def _prefix_pairs(docs: DataFrame, key: str, text: str, members: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) from different components that share one of their rarest shingles.
 
-    ``members``: (rep, c, sketch) of the documents to search.  Rarity is that of a
+    ``members``: (rep, c, MARKS) of the documents to search.  Rarity is that of a
     shingle's counter over these documents; any order would be complete, this
     one keeps common shingles out of the prefixes.  Components that share a
     shingle are paired first, so a large one is never paired with itself.
@@ -236,20 +268,20 @@ def _prefix_pairs(docs: DataFrame, key: str, text: str, members: DataFrame, k: i
 
     def prefixes(batches):
         for batch in batches:
-            ids, tokens, size, place = [], [], [], []
+            ids, tokens, place = [], [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = np.frombuffer(x.as_buffer(), U)
                 n = len(s)
                 p = n + percent * n // -100 + 1  # n - ceil(t n) + 1
                 pick = s[np.lexsort((s, shared.value[(s >> U(64 - COUNTER_BITS)).astype(np.int64)]))[:p]]
-                ids.append(np.full(p, i)), tokens.append(pick.view(np.int64)), size.append(np.full(p, n)), place.append(np.arange(p))
+                ids.append(np.full(p, i)), tokens.append(pick.view(np.int64)), place.append(np.arange(p))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, tokens, size, place)], names=["rep", "token", "n", "i"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, tokens, place)], names=["rep", "token", "i"])
 
     size = members.groupBy("c").agg(F.count("*").alias("size"))
-    known = stored(sets.select(F.col("id").alias("rep"), F.expr("length(shingles) div 8").alias("n")).join(members, "rep").join(size, "c"), "searched")
-    rows = sets.mapInArrow(prefixes, "rep bigint, token bigint, n bigint, i bigint").join(known.drop("n"), "rep")
-    held = rows.groupBy("token", "c").agg(F.count("*").alias("m"), F.min("n").alias("n"), F.max("n").alias("hi"), F.min("i").alias("i"), *(F.first(x).alias(x) for x in ("size", *SKETCH)))
+    known = stored(members.join(size, "c"), "searched")
+    rows = sets.mapInArrow(prefixes, "rep bigint, token bigint, i bigint").join(known, "rep")
+    held = rows.groupBy("token", "c").agg(F.count("*").alias("m"), F.min("n").alias("n"), F.max("n").alias("hi"), F.min("i").alias("i"), *(F.first(x).alias(x) for x in ("size", *SKETCH, *PARITY)))
     held = stored(held, "prefixes")
     several = held.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("token")
     held = held.join(several, "token", "left_semi")
@@ -261,13 +293,13 @@ def _prefix_pairs(docs: DataFrame, key: str, text: str, members: DataFrame, k: i
     cross = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr(f"(x.size > y.size OR (x.size = y.size AND x.c > y.c)) AND {length} AND {position} AND ({single})"))
     cross = stored(cross.select(F.col("x.c").alias("c1"), F.col("y.c").alias("c2")).distinct(), "cross")
     # the smaller component's members first; the larger one's meet them under the filters
-    of = lambda c, side: known.select(F.col("c").alias(c), *(F.col(v).alias(f"{side}_{v}") for v in ("rep", "n", *SKETCH)))
-    meet = (F.col("c1") == F.col("c1_")) & F.expr(f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) AND {_alike('x_', 'y_', percent)}")
+    of = lambda c, side: known.select(F.col("c").alias(c), *(F.col(v).alias(f"{side}_{v}") for v in ("rep", *MARKS)))
+    meet = (F.col("c1") == F.col("c1_")) & F.expr(_alike("x_", "y_", percent))
     pairs = cross.join(of("c2", "y"), "c2").join(of("c1_", "x"), meet)
     return pairs.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, small: int = SMALL) -> DataFrame:
     """(key, n_shingles, component_id, kept) of each document row.
 
     Documents are linked when 100 * intersection >= percent * union of their
@@ -277,28 +309,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     space, has n_shingles 0 and is its own component.  A row with a null key
     takes no part: component_id is null and kept true.  Rows with equal keys
     are one document for linking and are returned each.  Other columns are
-    never read.  An empty table gives an empty table.
+    never read.  An empty table gives an empty table.  ``percent`` is 12 to 100
+    (ValueError below, where buckets would not find all links).
     """
+    bands, rows = band_shape(percent)
     with batches_of(docs.sparkSession, BATCH_ROWS):
         base = stored(signed(docs, key, text, k, bands, rows), "signatures")
         usable = base.where("id IS NOT NULL AND n_shingles > 0")
-        classes = stored(usable.groupBy("digest").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("bands", *SKETCH))), "classes")
+        classes = stored(usable.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("bands", *SKETCH, *PARITY))), "classes")
         entries = classes.select("rep", F.explode("bands").alias("bucket"))
-        heads = entries.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
+        heads = stored(entries.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("held")).where("held > 1"), "heads")
         members = stored(entries.join(heads, "bucket"), "members")
+        discard(heads)
 
         met = stored(members.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "met")
         tried = stored(_likely(met, classes, percent), "pairs")
+        discard(met)
         links = stored(confirmed(docs, tried, key, text, k, percent), "confirmed")
         found = components(links)
 
-        now = members.where("n > 2").join(found.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+        now = members.where("held > 2").join(found.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
         mixed = now.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("bucket")
-        sketch = classes.select("rep", *SKETCH)
-        now = stored(now.join(mixed, "bucket", "left_semi").join(sketch, "rep"), "mixed")
-        x, y = now.where(f"n <= {small}").alias("x"), now.where(f"n <= {small}").alias("y")
+        now = stored(now.join(mixed, "bucket", "left_semi").join(classes.select("rep", *MARKS), "rep"), "mixed")
+        discard(members)
+        x, y = now.where(f"held <= {small}").alias("x"), now.where(f"held <= {small}").alias("y")
         near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & F.expr(_alike("x.", "y.", percent))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        large = stored(now.where(f"n > {small}").select("rep", "c", *SKETCH).distinct(), "large")
+        large = stored(now.where(f"held > {small}").select("rep", "c", *MARKS).distinct(), "large")
         if large.take(1):
             near = near.unionByName(_prefix_pairs(docs, key, text, large, k, percent)).distinct()
         rest = stored(near.join(tried, ["a", "b"], "left_anti"), "rest")
