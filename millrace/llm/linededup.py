@@ -6,7 +6,8 @@ are ordered by rarity, and each line is indexed under its first n - ceil(t n) +
 keys only.  Lines that share such a key meet if their lengths, what is left from
 that key on (position), and a bitmap of their keys allow a similarity of t.
 Every pair of similarity t passes these filters at its first shared key; survivors
-are verified on all keys.  A line goes if an earlier line (by document id, then
+are verified on all keys.  Lines that share the key before as well met there (32 bits of
+it are compared: a pair can be lost with probability 2**-32).  A line goes if an earlier line (by document id, then
 line number) matches it.
 
 Lines with equal sets (equal 128-bit digests of the sorted keys) are one class, so
@@ -16,9 +17,9 @@ line stands in the band of lengths that holds its own, and where longer partners
 may lie in the next band, in that one as well; two lines meet in the higher of
 their bands.
 
-A line that passes the filters with the earliest line of a key and band is compared
-with that one first; only the lines that this leaves open are compared with all
-others.  So a word with many near-equal lines costs their number, not its square.
+A line is compared first with the earliest line of a key and band and with the few
+just before it; only lines that match none of these are compared with all others.
+So a word with many near-equal lines costs their number, not its square.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ PERCENT = 80
 MIN_WORDS = 1
 #: log2 of the counters that order words by rarity: a table of one byte each, of fixed size.
 COUNTER_BITS = 18
+#: Lines just before a line, among those of a key, that it is compared with at first.
+BEFORE = 3
 #: Distinct words from which a line has a second half of its bitmap.
 LONG = 64
 #: Rows that are broadcast to the documents, at most; more are joined by a shuffle.
@@ -103,27 +106,32 @@ def _band(n: Column) -> Column:
 
 
 def _entries(classes: DataFrame, percent: int, keys: str = "TRUE") -> DataFrame:
-    """(token, id, no, ni, b, b2): a row for each prefix key of each class, and one more where a longer partner lies in the next band.
+    """(token, id, np, ni, b, b2): a row for each prefix key of each class, and one more where a longer partner lies in the next band.
 
-    token is of the key and the band; ni holds the length, the key's place, and
-    in its two lowest bits whether the line is open and whether the band is not
-    its own.  ``keys`` (SQL over ``key``) may leave out some keys.
+    token is of the key and the band; np holds the line's number and 32 bits of the
+    key before this one; ni holds the length, the key's place, and in its two lowest
+    bits whether the line is open and whether the band is not its own.  ``keys``
+    (SQL over ``key``) may leave out some keys.
     """
     n = F.col("n")
     own, upper = _band(n), _band(F.floor(n * 100 / percent))
     prefix = n - F.ceil(n * percent / 100) + 1
     shorter = n - F.ceil(n * (2 * percent) / (100 + percent)) + 1  # as the shorter one of a pair
     long_enough = classes.where(f"100 * n >= {percent} * (n + 1)")  # a set of n words is n / (n + 1) similar to another one at most
+    whole = lambda c: c.cast("bigint")
 
     def spread(rows: DataFrame, length: Column, band: Column, extra: int) -> DataFrame:
-        at = rows.select("id", "no", "n", "b", "b2", "open", band.alias("band"), F.posexplode(F.slice("prefix", F.lit(1), length.cast("int"))).alias("i", "key")).where(keys)
-        ni = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("bigint"), 2)).bitwiseOR(F.col("open") * 2 + F.lit(extra).cast("bigint"))
-        return at.select(F.xxhash64("key", "band").alias("token"), "id", "no", ni.alias("ni"), "b", "b2")
+        at = F.slice("prefix", F.lit(1), length.cast("int"))
+        pairs = F.arrays_zip(at.alias("key"), F.slice(F.concat(F.array(F.xxhash64("id", "no")), at), F.lit(1), F.size(at)).alias("last"))
+        at = rows.select("id", "no", "n", "b", "b2", "open", band.alias("band"), F.posexplode(pairs).alias("i", "at")).select("*", "at.key", "at.last").where(keys)
+        ni = F.shiftleft(whole(F.col("n")), 32).bitwiseOR(F.shiftleft(whole(F.col("i")), 2)).bitwiseOR(F.col("open") * 2 + whole(F.lit(extra)))
+        np = F.shiftleft(whole(F.col("no")), 32).bitwiseOR(F.col("last").bitwiseAND(whole(F.lit(0xFFFFFFFF))))
+        return at.select(F.xxhash64("key", "band").alias("token"), "id", np.alias("np"), ni.alias("ni"), "b", "b2")
 
     return spread(long_enough, prefix, own, 0).unionByName(spread(long_enough.where(upper > own), shorter, upper, 1))
 
 
-_LINE = ("id", "no", "ni", "b", "b2")
+_LINE = ("id", "np", "ni", "b", "b2")
 
 
 def _as(rows: DataFrame, side: str) -> DataFrame:
@@ -132,7 +140,7 @@ def _as(rows: DataFrame, side: str) -> DataFrame:
 
 
 def _earlier(x: str, y: str) -> str:
-    return f"({x}_id < {y}_id OR ({x}_id = {y}_id AND {x}_no < {y}_no))"
+    return f"({x}_id < {y}_id OR ({x}_id = {y}_id AND shiftright({x}_np, 32) < shiftright({y}_np, 32)))"
 
 
 def _fits(percent: int, x: str, y: str) -> str:
@@ -150,7 +158,8 @@ _PAIR = ("a_id", "a_no", "b_id", "b_no")
 
 
 def _pair(earlier: str, later: str) -> list[Column]:
-    return [F.col(c).alias(n) for c, n in zip((f"{earlier}_id", f"{earlier}_no", f"{later}_id", f"{later}_no"), _PAIR, strict=True)]
+    no = lambda s: F.shiftright(f"{s}_np", 32).cast("int")
+    return [c.alias(n) for c, n in zip((F.col(f"{earlier}_id"), no(earlier), F.col(f"{later}_id"), no(later)), _PAIR, strict=True)]
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, rank: Column, key: str, text: str, percent: int) -> DataFrame:
@@ -183,12 +192,13 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     discard(keyed)
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
 
-    # every line with the earliest one of its key and band, for a quarter of the keys: near-equal lines share many
-    some = _entries(classes.withColumn("open", zero), percent, "key & 192 = 0")
-    head = F.min(F.struct(*_LINE)).over(Window.partitionBy("token"))
-    met = some.withColumn("head", head)
-    met = met.select(*(F.col(c).alias(f"x_{c}") for c in _LINE), *(F.col(f"head.{c}").alias(f"head_{c}") for c in _LINE))
-    tried = stored(met.where(f"{_earlier('head', 'x')} AND {_fits(percent, 'x', 'head')}").select(*_pair("head", "x")).distinct(), "pairs")
+    # every line with the earliest one of its key and band, and with those just before it, for half of the keys: near-equal lines share many
+    some = _entries(classes.withColumn("open", zero), percent, "key & 64 = 0")
+    order = Window.partitionBy("token").orderBy("id", "np")
+    line = F.struct(*_LINE)
+    before = F.array(F.first(line).over(order), *(F.lag(line, k).over(order) for k in range(1, BEFORE + 1)))
+    met = some.withColumn("y", before).withColumn("y", F.explode(F.array_distinct("y"))).select(*(F.col(c).alias(f"x_{c}") for c in _LINE), *(F.col(f"y.{c}").alias(f"y_{c}") for c in _LINE))
+    tried = stored(met.where(f"{_earlier('y', 'x')} AND {_fits(percent, 'x', 'y')}").select(*_pair("y", "x")).distinct(), "pairs")
     gone = _confirmed(docs, tried, rank, key, text, percent)
 
     # every line that matched none of these with all earlier lines of its keys
@@ -199,7 +209,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     entries = entries.where(whole).repartition("token")  # neither side's plan differs below this exchange, so it is made once
     # a filter that the optimizer does not move below the exchange: rand() is below 1
     searched = entries.where(F.col("ni").bitwiseAND(F.lit(2)) + F.rand(0) >= 2)
-    meets = f"(x_ni & y_ni & 1) = 0 AND {_earlier('y', 'x')} AND {_fits(percent, 'x', 'y')}"
+    # two lines whose keys before this one are equal have met there
+    meets = f"(x_ni & y_ni & 1) = 0 AND {_earlier('y', 'x')} AND ((x_np ^ y_np) & 4294967295L) <> 0 AND {_fits(percent, 'x', 'y')}"
     rest = _as(searched, "x").join(_as(entries, "y"), "token").where(meets).select(*_pair("y", "x")).distinct()
     rest = stored(rest.join(tried, list(_PAIR), "left_anti"), "rest")
     discard(tried)
