@@ -8,6 +8,7 @@ out by an explicit rule, so the counts of all sections add up to the document's.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 
 import numpy as np
@@ -26,9 +27,25 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: Unicode White_Space, which the patterns' \\s stands for.
+_BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Runs of white space from this length are cut out of a text before its pattern is matched, which goes too deep on some hundred thousands.
+LONG_BLANK = 4096
+
 _here: dict = {}
 
 
+def encode(enc: tiktoken.Encoding, text: str, least: int = LONG_BLANK) -> list[int]:
+    """The ids of a text whose pattern ends in ``\\s+(?!\\S)|\\s+``: of a run of white space, all but the last character before a word is one piece."""
+    ids, done = [], 0
+    for run in re.finditer(f"{_BLANK}{{{max(least, 2)},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += enc.encode_ordinary(text[done : run.start()])
+        ids += enc._encode_single_piece(text[run.start() : end])
+        done = end
+    return ids + enc.encode_ordinary(text[done:])
+
+
 def _encoding(shared, pattern: str, key: str) -> tuple:
     """The encoder of one call, kept by a worker over its tasks."""
     if key not in _here:
@@ -115,7 +132,7 @@ def token_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, fields:
                         numbers += range(len(own))
                         base += len(x)
                     data = whole.encode("utf-8", "replace")
-                    ids = np.array(enc.encode_ordinary(whole), dtype=np.int64)
+                    ids = np.array(encode(enc, whole), dtype=np.int64)
                     if len(ids):
                         first, end, _ = spans(ids, length, data)
                         n, crossed = allocate(first, end, np.array(starts), len(whole), rule)
