@@ -26,10 +26,10 @@ BITS = 22
 MAX_ROWS = 8192
 #: Lengths in bytes of the beginnings of words that are features, besides whole words.
 STEMS = (5, 7, 9)
-#: Words that a model weighs, at most (those with the largest statistic).
-MAX_WORDS = 4096
-#: Least likelihood-ratio statistic of a word (chi-square with one degree of freedom: p about 1e-6).
-LEAST_G = 20.0
+#: Features that a model weighs, at most and at least (those with the largest statistic).
+MAX_WORDS, MIN_WORDS = 4096, 64
+#: Likelihood-ratio statistic from which a feature is weighed whatever the others' (chi-square with one degree of freedom: p about 0.0016).
+LEAST_G = 10.0
 _TABLE = word_table("alnum")
 
 
@@ -79,8 +79,8 @@ class OrdinalModel:
         return np.bincount(pairs // len(self.words), weights=self.weights[pairs % len(self.words)], minlength=n)
 
 
-def select_words(bags: list[np.ndarray], grades: np.ndarray, least: float = LEAST_G, most: int = MAX_WORDS) -> np.ndarray:
-    """Sorted hashes of the words whose presence tells most about whether a grade is above the lowest."""
+def select_words(bags: list[np.ndarray], grades: np.ndarray, least: float = LEAST_G, most: int = MAX_WORDS, fewest: int = MIN_WORDS) -> np.ndarray:
+    """Sorted hashes of the words whose presence tells most about whether a grade is above the lowest: those of statistic ``least``, or the ``fewest`` best."""
     flat = np.concatenate(bags) if bags else np.zeros(0, np.int64)
     positive = np.repeat(grades > 0, [len(b) for b in bags])
     ids, where = np.unique(flat, return_inverse=True)
@@ -91,17 +91,17 @@ def select_words(bags: list[np.ndarray], grades: np.ndarray, least: float = LEAS
     means = np.stack([total * n1 / n, total * (n - n1) / n, (n - total) * n1 / n, (n - total) * (n - n1) / n])
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * np.where(cells > 0, cells * np.log(cells / means), 0).sum(axis=0)
-    pick = np.flatnonzero(g >= least)
-    return np.sort(ids[pick[np.argsort(-g[pick], kind="stable")[:most]]])
+    best = np.argsort(-g, kind="stable")
+    return np.sort(ids[best[: min(most, max(fewest, int((g >= least).sum())))]])
 
 
-def fit(bags: list[np.ndarray], grades: np.ndarray, l2: float = 0.5, rounds: int = 400, rate: float = 0.1) -> OrdinalModel:
+def fit(bags: list[np.ndarray], grades: np.ndarray, l2: float = 0.5, rounds: int = 400, rate: float = 0.1, least_g: float = LEAST_G, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS) -> OrdinalModel:
     """Penalised maximum likelihood by full-batch Adam steps; thresholds stay ordered as a first value plus positive steps."""
     top = int(grades.max()) if len(grades) else 0
     if top < 1 or (grades == grades[0]).all():
         prior = np.where(np.arange(max(top, 1)) >= (grades[0] if len(grades) else 0), 8.0, -8.0)
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), prior)
-    chosen = select_words(bags, grades)
+    chosen = select_words(bags, grades, least_g, max_words, min_words)
     col = [np.searchsorted(chosen, b[np.isin(b, chosen)]) for b in bags]
     rows, cols = np.repeat(np.arange(len(bags)), [len(c) for c in col]), np.concatenate(col).astype(np.int64)
     n, m = len(bags), len(chosen)
@@ -127,8 +127,8 @@ def fit(bags: list[np.ndarray], grades: np.ndarray, l2: float = 0.5, rounds: int
     return OrdinalModel(chosen, p[:m], np.cumsum(np.concatenate([p[m : m + 1], np.exp(p[m + 1 :])])))
 
 
-def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", key: str = "doc_id", text: str = "text", where=None, max_rows: int = MAX_ROWS) -> OrdinalModel:
-    """Fit on documents that ``labels`` gives a grade 0, 1, ... (negative, null and contradictory grades teach nothing)."""
+def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", key: str = "doc_id", text: str = "text", where=None, max_rows: int = MAX_ROWS, **options) -> OrdinalModel:
+    """Fit on documents that ``labels`` gives a grade 0, 1, ... (negative, null and contradictory grades teach nothing); ``options`` go to ``fit``."""
     usable = F.col(grade) >= 0
     sample = labelled(labels, grade, key, usable if where is None else usable & where, max_rows)
     chosen = docs.where(F.col(key).isNotNull()).select(key, text).join(F.broadcast(sample), key).select(F.col(key).cast("string").alias("k"), F.col(grade).alias("y"), F.col(text).alias("t"))
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", key: str = "
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(made, pa.binary())], names=["k", "y", "ids"])
 
     rows = sorted(chosen.mapInArrow(run, "k string, y int, ids binary").toLocalIterator(), key=lambda r: (r.k, r.ids))
-    return fit([np.frombuffer(r.ids, "<u4") for r in rows], np.array([r.y for r in rows], dtype=np.int64))
+    return fit([np.frombuffer(r.ids, "<u4") for r in rows], np.array([r.y for r in rows], dtype=np.int64), **options)
 
 
 def grade(docs: DataFrame, model: OrdinalModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
