@@ -163,7 +163,7 @@ def _member(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
     """The benchmark in blocks of about block_bytes of text, read one partition at a time."""
     part, size = [], 0
-    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL AND t <> ''").distinct()
+    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t IS NOT NULL AND t <> ''").distinct()
     for i, t in rows.toLocalIterator():
         if part and size + len(t) > block_bytes:
             yield part
@@ -179,8 +179,8 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
 
     ``docs`` and ``benchmark`` may have any further columns; ``keep`` must not
     name n_words, spans or item_ids (ValueError).  A null or empty text has no
-    words and no spans; a null item id or text, or one without words, is no
-    item; repeated rows on either side count once per document row, and items
+    words and no spans; an item without words is none; the words that an item
+    with a null id shares are hit, but it is not among item_ids; repeated rows on either side count once per document row, and items
     with equal ids are one item.  An empty benchmark finds nothing.  Equality
     of words is that of 64-bit hashes, checked word by word over the span.
     """
@@ -204,9 +204,9 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
                     block = one.value
                     for row, a, b, item in spans_in(block, w):
                         found[row].append((a, b, block.ids[item]))
-                spans = [sorted(set(x)) for x in found]
+                spans = [sorted(set(x), key=lambda s: (s[:2], s[2] or "")) for x in found]
                 cols = [c.slice(w.first, w.last - w.first) for c in batch.columns[:n_keep]]
-                cols += [pa.array(np.diff(w.bounds)), pa.array([[{"first": a, "end": b, "item_id": i} for a, b, i in x] for x in spans], arrow_kind), pa.array([sorted({i for *_, i in x}) for x in spans], pa.list_(pa.string()))]
+                cols += [pa.array(np.diff(w.bounds)), pa.array([[{"first": a, "end": b, "item_id": i} for a, b, i in x] for x in spans], arrow_kind), pa.array([sorted({i for *_, i in x if i is not None}) for x in spans], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.select(*keep, text).mapInArrow(run, schema)
