@@ -42,6 +42,37 @@ def test_search_recall(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_search_of_hard_vectors(spark):
+    """No clusters, and one vector far longer than the others: the measured recall holds."""
+    rng = np.random.default_rng(4)
+    for n, long in ((3000, False), (1000, True)):
+        x = rng.normal(size=(n, 32))
+        if long:
+            x[7] *= 300
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got: dict = {}
+        for r in nndescent.search(table).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = 0
+        for q in range(0, n, 20):
+            score = x @ x[q]
+            score[q] = -np.inf
+            hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+        assert hits / n >= 0.9  # n / 20 queries of 20 neighbours
+
+
+def test_search_by_brute_force(spark):
+    """Where walks find too little, the blocks of queries give exact answers."""
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    x[20] = x[40]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in nndescent.search(table, settings=nndescent.Settings(tries=0)).collect()}
+    for q in range(0, 300, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert [got[q, k] for k in range(1, 21)] == np.lexsort((np.arange(300), -score.round(9)))[:20].tolist()
+
+
 def test_search_of_little(spark):
     kind = "vec_id long, embedding array<float>"
     assert nndescent.search(spark.createDataFrame([], kind)).count() == 0

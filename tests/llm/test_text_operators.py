@@ -10,6 +10,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -92,6 +93,36 @@ def test_token_counts_add_up(docs):
         assert np.bincount(own, minlength=len(starts)).tolist() == [s.n_tokens for s in r.sections] if len(own) else True
 
 
+def test_token_counts_of_long_blanks(spark):
+    """Runs of a million blanks, line feeds and letters neither end the job nor change the ids."""
+    ranks = tokencount.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    pool = ["a", "b", " ", "  ", "\n", "\t", "\x85", "\u3000", "1", "'s", "!", "\x1c", "é"]
+    for _ in range(5000):
+        t = "".join(rng.choice(pool) for _ in range(rng.randrange(14)))
+        assert tokencount.encode(enc, t, 2) == enc.encode_ordinary(t), repr(t)
+    n = 1_000_000
+    rows = [(1, " " * n), (2, "\n" * n), (3, " " * n + "a"), (4, "a" * n), (5, "x" + " \n" * n + "y")]
+    made = tokencount.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), ranks, public_tokenizers.PATTERN, lines=False).collect()
+    assert all(r.n_tokens == sum(s.n_tokens for s in r.sections) > 0 for r in made)
+
+
+def test_long_texts(spark, tables):
+    """Texts above a megabyte pass through the narrow operators."""
+    rows = [(1, "ab " * 700_000), (2, "a" * 1_500_000), (3, "\n" * 1_200_000), (4, "é" * 800_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    made = {r.doc_id: r.n_tokens for r in bpe.encode_column(d, tables).collect()}
+    assert made == {i: len(tk.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    bench = spark.createDataFrame([(1, "ab " * 20), (2, "a" * 1_500_000)], "item_id long, text string")
+    hit = {r.doc_id: (r.n_words, r.n_hit) for r in decontam.contamination(d, bench).collect()}
+    assert hit == {1: (700_000, 700_000), 2: (1, 1), 3: (0, 0), 4: (1, 0)}
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 1), (3, 0, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.classify(d, labels).count() == 4
+    assert toxicity.grade(d, toxicity.train(d, labels)).count() == 4
+
+
 def test_border_rules():
     a, b = np.array([0, 2, 5]), np.array([2, 5, 6])
     give = lambda rule: tokencount.allocate(a, b, np.array([0, 3, 4]), 6, rule)[0].tolist()
@@ -110,14 +141,14 @@ def brute_contamination(docs, bench):
         w = pattern.findall(low(t or ""))
         n = min(13, len(w))
         for k in range(len(w) - n + 1 if n else 0):
-            windows.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+            windows.setdefault(tuple(w[k : k + n]), set()).update([] if i is None else [str(i)])
     out = collections.Counter()
     for i, t in docs:
         w = pattern.findall(low(t or ""))
         hit, found = [0] * len(w), set()
         for n in {len(x) for x in windows}:
             for k in range(len(w) - n + 1):
-                if own := windows.get(tuple(w[k : k + n])):
+                if (own := windows.get(tuple(w[k : k + n]))) is not None:
                     found |= own
                     hit[k : k + n] = [1] * n
         out[i, len(w), sum(hit), len(found), decontam.digest(list(found)), sum(hit) > 0 and 20 * sum(hit) >= len(w)] += 1
@@ -126,7 +157,7 @@ def brute_contamination(docs, bench):
 
 def test_decontamination(spark, docs):
     own = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    bench = [*own, (900, "same words here"), (901, "one"), (902, None), (903, ""), (904, "x " * 13), (905, "x " * 20), (906, "same words here")]
+    bench = [*own, (900, "same words here"), (901, "one"), (902, None), (903, ""), (904, "x " * 13), (905, "x " * 20), (906, "same words here"), (None, "words here again"), (None, "one two")]
     made = decontam.contamination(docs, spark.createDataFrame(bench, "item_id long, text string").withColumn("doc_id", F.lit(1)), block_bytes=2000).collect()
     assert collections.Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in made) == brute_contamination(items(docs), bench)
     none = decontam.contamination(docs, spark.createDataFrame([], "item_id long, text string"))
