@@ -12,9 +12,15 @@ _own: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A path of its own in the folder in ``spark.checkpoint.dir`` (where none is named, in a temporary one), deleted when the session's JVM ends."""
+    """A path of its own in the folder in ``spark.checkpoint.dir``, deleted when the session's JVM ends.
+
+    Where none is named, a temporary folder of this machine serves a local master;
+    on a cluster, whose executors would not see it, that is a RuntimeError.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="millrace-"))
         top = _own[0]

@@ -8,12 +8,7 @@ from millrace.operators import graphs as G
 from millrace.operators import linalg as L
 from millrace.plans.registry import query, r6
 
-_E = "e AS MATERIALIZED (SELECT o_custkey % 400 AS src, (o_orderkey * 7) % 400 AS dst, CAST(min(1 + o_orderkey % 9) AS DOUBLE) AS weight FROM orders WHERE o_orderkey < 900 GROUP BY 1, 2)"
-
-
-def _edges(t):
-    o = t.orders.where("o_orderkey < 900")
-    return o.groupBy((F.col("o_custkey") % 400).alias("src"), ((F.col("o_orderkey") * 7) % 400).alias("dst")).agg(F.min(1 + F.col("o_orderkey") % 9).cast("double").alias("weight"))
+_E = "e AS MATERIALIZED (SELECT o_custkey AS src, (o_orderkey * 7) % (SELECT count(*) FROM customer) AS dst, CAST(min(1 + o_orderkey % 9) AS DOUBLE) AS weight FROM orders GROUP BY 1, 2)"
 
 
 def whole_orders(t):
@@ -27,21 +22,11 @@ _BFS = f"WITH RECURSIVE {_E}, b(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNI
 
 @query("G01_bfs_levels", _BFS)
 def g01(t):
-    return G.bfs(_edges(t), 0)
-
-
-@query("G01_bfs_levels_whole")
-def g01w(t):
     return G.bfs(G.cut(whole_orders(t)), 0)
 
 
 @query("G02_bfs_level_sizes", f"SELECT depth, count(*) AS n FROM ({_BFS}) GROUP BY 1")
 def g02(t):
-    return G.bfs(_edges(t), 0).groupBy("depth").agg(F.count("*").alias("n"))
-
-
-@query("G02_bfs_level_sizes_whole")
-def g02w(t):
     return G.bfs(G.cut(whole_orders(t)), 0).groupBy("depth").agg(F.count("*").alias("n"))
 
 
@@ -54,21 +39,11 @@ def _unrolled(first: str, step: str, rounds: int, last: str) -> str:
 
 @query("G03_shortest_paths", _unrolled("SELECT CAST(0 AS BIGINT) AS node, 0.0::DOUBLE AS distance", "SELECT node, min(distance) AS distance FROM (SELECT * FROM {p} UNION ALL SELECT dst, distance + weight FROM {p} JOIN e ON src = node) GROUP BY 1", 45, "SELECT node, distance FROM {p}"))
 def g03(t):
-    return G.shortest_paths(_edges(t), 0)
-
-
-@query("G03_shortest_paths_whole")
-def g03w(t):
     return G.shortest_paths(G.cut(whole_orders(t)), 0)
 
 
 @query("G04_min_plus_step", f"WITH {_E}, x AS (SELECT node, CAST(node % 7 AS DOUBLE) AS d FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)) SELECT x.node, least(x.d, coalesce(min(y.d + weight), 1e9)) AS d FROM x LEFT JOIN e ON dst = x.node LEFT JOIN x y ON y.node = src GROUP BY x.node, x.d")
 def g04(t):
-    return _min_plus_step(_edges(t))
-
-
-@query("G04_min_plus_step_whole")
-def g04w(t):
     return _min_plus_step(G.cut(whole_orders(t)))
 
 
@@ -78,25 +53,21 @@ def _min_plus_step(e):
     return x.join(offers, "node", "left").select("node", F.least("d", F.coalesce("o", F.lit(1e9))).alias("d"))
 
 
-_SMALL = "(SELECT * FROM e WHERE src < 120 AND dst < 120)"
+_SOLD = "e AS MATERIALIZED (SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst, sum(l_quantity) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"
 
 
 @query(
     "G06_all_pairs",
-    f"WITH {_E}, d0 AS MATERIALIZED (SELECT src, dst, min(weight) AS distance FROM {_SMALL} WHERE src <> dst GROUP BY 1, 2), "
-    + ", ".join(f"d{k} AS MATERIALIZED (SELECT src, dst, min(distance) AS distance FROM (SELECT * FROM d{k - 1} UNION ALL SELECT a.src, b.dst, a.distance + b.distance FROM d{k - 1} a JOIN d{k - 1} b ON a.dst = b.src WHERE a.src <> b.dst) GROUP BY 1, 2)" for k in range(1, 8))
-    + " SELECT src, dst, distance FROM d7",
+    f"WITH {_SOLD}, d0 AS MATERIALIZED (SELECT src, dst, min(weight) AS distance FROM e WHERE src <> dst GROUP BY 1, 2), "
+    + ", ".join(f"d{k} AS MATERIALIZED (SELECT src, dst, min(distance) AS distance FROM (SELECT * FROM d{k - 1} UNION ALL SELECT a.src, b.dst, a.distance + b.distance FROM d{k - 1} a JOIN d{k - 1} b ON a.dst = b.src WHERE a.src <> b.dst) GROUP BY 1, 2)" for k in range(1, 6))
+    + " SELECT src, dst, round(distance, 4) AS distance FROM d5",
 )
 def g06(t):
-    return G.all_pairs(_edges(t).where("src < 120 AND dst < 120"))
-
-
-@query("G06_all_pairs_whole")
-def g06w(t):
     """Nations, joined by all that is sold from one to another; an edge weighs its quantity."""
     sold = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     nation = lambda c: F.col(c).cast("bigint")
-    return G.all_pairs(sold.groupBy(nation("s_nationkey").alias("src"), nation("c_nationkey").alias("dst")).agg(F.sum("l_quantity").alias("weight")))
+    made = G.all_pairs(sold.groupBy(nation("s_nationkey").alias("src"), nation("c_nationkey").alias("dst")).agg(F.sum("l_quantity").alias("weight")))
+    return made.select("src", "dst", r6(F.col("distance"), 4).alias("distance"))
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -107,21 +78,11 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query("G07_pagerank", _pagerank_sql(20))
 def g07(t):
-    return G.pagerank(_edges(t)).select("node", F.round("rank", 9).alias("rank"))
-
-
-@query("G07_pagerank_whole")
-def g07w(t):
     return G.pagerank(G.cut(whole_orders(t))).select("node", F.round("rank", 9).alias("rank"))
 
 
 @query("G08_pagerank_spmv", _pagerank_sql(5))
 def g08(t):
-    return _spmv_ranks(_edges(t))
-
-
-@query("G08_pagerank_spmv_whole")
-def g08w(t):
     return _spmv_ranks(G.cut(whole_orders(t)))
 
 
@@ -169,13 +130,13 @@ def g14(t):
     return G.refined(cells, "value", 40000.0).select("id", "depth", "value")
 
 
-@query("U07_components", f"WITH RECURSIVE {_E}, s AS MATERIALIZED (SELECT src, dst FROM {_SMALL} UNION SELECT dst, src FROM {_SMALL}), r(a, b) AS (SELECT src, dst FROM s UNION SELECT r.a, s.dst FROM r JOIN s ON r.b = s.src) SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY 1")
+@query(
+    "U07_components",
+    f"WITH {_E}, s AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e), d0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS component FROM s), "
+    + ", ".join(f"d{k} AS MATERIALIZED (SELECT node, min(component) AS component FROM (SELECT * FROM d{k - 1} UNION ALL SELECT dst, component FROM d{k - 1} JOIN s ON src = node) GROUP BY 1)" for k in range(1, 31))
+    + " SELECT node, component FROM d30",
+)
 def u07(t):
-    return G.connected_components(_edges(t).where("src < 120 AND dst < 120"))
-
-
-@query("U07_components_whole")
-def u07w(t):
     return G.connected_components(G.cut(whole_orders(t)))
 
 
@@ -240,24 +201,11 @@ def g21(t):
 
 @query(
     "G22_block_match",
-    """WITH c AS (SELECT event_id // 16 AS block, event_id AS pos, CAST(floor(value) AS BIGINT) AS v FROM events WHERE event_id < 640), r AS (SELECT event_id AS pos, CAST(floor(value) AS BIGINT) AS w FROM events WHERE event_id < 700),
-       s AS (SELECT block, shift, sum(abs(v - w)) AS sad, count(*) AS n FROM c CROSS JOIN (SELECT range - 4 AS shift FROM range(9)) JOIN r ON r.pos = c.pos + shift + 3 GROUP BY 1, 2)
-       SELECT block, arg_min(shift, (sad, abs(shift), shift)) AS shift, CAST(min(sad) AS BIGINT) AS sad FROM s WHERE n = 16 GROUP BY 1""",
-)
-def g22(t):
-    value = F.floor("value").cast("bigint")
-    current = t.events.where("event_id < 640").select(F.floor(F.col("event_id") / 16).alias("block"), F.col("event_id").alias("pos"), value.alias("v"))
-    reference = t.events.where("event_id < 700").select((F.col("event_id") - 3).alias("pos"), value.alias("v"))
-    return L.block_match(current, reference, 4).select("block", F.col("shift").cast("bigint").alias("shift"), "sad")
-
-
-@query(
-    "G22_block_match_whole",
     """WITH c AS (SELECT event_id // 16 AS block, event_id AS pos, CAST(floor(value) AS BIGINT) AS v FROM events), f AS (SELECT block, count(*) AS size FROM c GROUP BY 1),
        s AS (SELECT block, shift, sum(abs(c.v - r.v)) AS sad, count(*) AS n FROM c CROSS JOIN (SELECT range - 4 AS shift FROM range(9)) JOIN (SELECT pos, v FROM c) r ON r.pos = c.pos + shift + 3 GROUP BY 1, 2)
        SELECT block, arg_min(shift, (sad, abs(shift), shift)) AS shift, CAST(min(sad) AS BIGINT) AS sad FROM s JOIN f USING (block) WHERE n = size GROUP BY 1""",
 )
-def g22w(t):
+def g22(t):
     """All events are blocks and reference."""
     value = F.floor("value").cast("bigint")
     current = t.events.select(F.floor(F.col("event_id") / 16).alias("block"), F.col("event_id").alias("pos"), value.alias("v"))

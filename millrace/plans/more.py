@@ -29,24 +29,11 @@ def s02(t):
 
 @query(
     "J17_substring_matches",
-    """WITH q AS (SELECT page_id, i, substring(url, CAST(i + 1 AS INTEGER), 9) AS g FROM pages, LATERAL (SELECT unnest(range(length(url) - 8)) AS i) WHERE page_id < 12 AND length(url) >= 9),
-       r AS (SELECT page_id, i, substring(url, CAST(i + 1 AS INTEGER), 9) AS g FROM pages, LATERAL (SELECT unnest(range(length(url) - 8)) AS i) WHERE page_id >= 12 AND page_id < 40 AND length(url) >= 9),
-       p AS (SELECT q.page_id AS qid, r.page_id AS rid, q.i AS a, r.i AS b FROM q JOIN r USING (g)), n AS (SELECT *, a - row_number() OVER (PARTITION BY qid, rid, a - b ORDER BY a) AS k FROM p)
-       SELECT qid, rid, CAST(min(a) AS INTEGER) AS qpos, CAST(min(b) AS INTEGER) AS rpos, count(*) + 8 AS length FROM n GROUP BY qid, rid, a - b, k""",
-)
-def j17(t):
-    q = t.pages.where("page_id < 12").select(F.col("page_id").alias("qid"), "url")
-    r = t.pages.where("page_id >= 12 AND page_id < 40").select(F.col("page_id").alias("rid"), "url")
-    return R.substring_matches(q, r, "qid", "rid", "url", 9)
-
-
-@query(
-    "J17_substring_matches_whole",
     """WITH r AS (SELECT page_id, i, substring(url, CAST(i + 1 AS INTEGER), 9) AS g FROM pages, LATERAL (SELECT unnest(range(length(url) - 8)) AS i) WHERE length(url) >= 9),
        p AS (SELECT q.page_id AS qid, r.page_id AS rid, q.i AS a, r.i AS b FROM r q JOIN r USING (g) WHERE q.page_id < 12), n AS (SELECT *, a - row_number() OVER (PARTITION BY qid, rid, a - b ORDER BY a) AS k FROM p)
        SELECT qid, rid, CAST(min(a) AS INTEGER) AS qpos, CAST(min(b) AS INTEGER) AS rpos, count(*) + 8 AS length FROM n GROUP BY qid, rid, a - b, k""",
 )
-def j17w(t):
+def j17(t):
     """The first twelve pages are searched for in every page."""
     q = t.pages.where("page_id < 12").select(F.col("page_id").alias("qid"), "url")
     return R.substring_matches(q, t.pages.select(F.col("page_id").alias("rid"), "url"), "qid", "rid", "url", 9)
@@ -77,14 +64,9 @@ def t04(t):
     return S.drain(counts, "complete", on_disk=True).select("user_id", "n", r6(F.col("total"), 4).alias("total"))
 
 
-@query("G26_frontier_sizes", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 400 AS src, (o_orderkey * 7) % 400 AS dst FROM orders WHERE o_orderkey < 900), b(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM b JOIN e ON src = node WHERE depth < 40), d AS (SELECT node, min(depth) AS depth FROM b GROUP BY 1) SELECT depth, count(DISTINCT dst) AS pushed FROM d JOIN e ON src = node GROUP BY 1")
+@query("G26_frontier_sizes", f"WITH RECURSIVE {graphs._E}, b(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM b JOIN e ON src = node WHERE depth < 40), d AS (SELECT node, min(depth) AS depth FROM b GROUP BY 1) SELECT depth, count(DISTINCT dst) AS pushed FROM d JOIN e ON src = node GROUP BY 1")
 def g26(t):
     """How many distinct nodes each level's frontier pushes."""
-    return _pushed(cut(t.orders.where("o_orderkey < 900").select((F.col("o_custkey") % 400).alias("src"), ((F.col("o_orderkey") * 7) % 400).alias("dst")).distinct()))
-
-
-@query("G26_frontier_sizes_whole")
-def g26w(t):
     return _pushed(cut(graphs.whole_orders(t)))
 
 

@@ -83,13 +83,8 @@ def s10(t):
     return text.source_map(_lines(t.events, line, "event_id", F.floor(F.col("event_id") / 500))).select("no", "source_line")
 
 
-@query("S11_profiler_cycles", "SELECT CAST(p_partkey + 1 AS INTEGER) AS kernel_id, CAST(p_size * 1234 AS DOUBLE) AS cycles FROM part WHERE p_partkey < 300")
+@query("S11_profiler_cycles", "SELECT CAST(p_partkey + 1 AS INTEGER) AS kernel_id, CAST(p_size * 1234 AS DOUBLE) AS cycles FROM part")
 def s11(t):
-    return _profiler_cycles(t, t.part.where("p_partkey < 300"))
-
-
-@query("S11_profiler_cycles_whole", "SELECT CAST(p_partkey + 1 AS INTEGER) AS kernel_id, CAST(p_size * 1234 AS DOUBLE) AS cycles FROM part")
-def s11w(t):
     return _profiler_cycles(t, t.part)
 
 

@@ -44,9 +44,9 @@ def test_levels_of_all_orders(spark, graph):
     for a, b in graph:
         if a in depth:
             pushed[depth[a]].add(b)
-    assert dict(_rows(spark, "G01_bfs_levels_whole")) == depth
-    assert dict(_rows(spark, "G02_bfs_level_sizes_whole")) == sizes
-    assert dict(_rows(spark, "G26_frontier_sizes_whole")) == {d: len(x) for d, x in pushed.items()}
+    assert dict(_rows(spark, "G01_bfs_levels")) == depth
+    assert dict(_rows(spark, "G02_bfs_level_sizes")) == sizes
+    assert dict(_rows(spark, "G26_frontier_sizes")) == {d: len(x) for d, x in pushed.items()}
     assert {r[0] for r in _rows(spark, "G09_betweenness")} == depth.keys()
 
 
@@ -60,14 +60,14 @@ def test_distances_of_all_orders(spark, graph):
         if new == far:
             break
         far = new
-    assert dict(_rows(spark, "G03_shortest_paths_whole")) == far
+    assert dict(_rows(spark, "G03_shortest_paths")) == far
     step = {x: float(x % 7) for e in graph for x in e}
     for (a, b), w in graph.items():
         step[b] = min(step[b], a % 7 + w)
-    assert dict(_rows(spark, "G04_min_plus_step_whole")) == step
+    assert dict(_rows(spark, "G04_min_plus_step")) == step
 
 
-@pytest.mark.parametrize(("name", "rounds"), [("G07_pagerank_whole", 20), ("G08_pagerank_spmv_whole", 5)])
+@pytest.mark.parametrize(("name", "rounds"), [("G07_pagerank", 20), ("G08_pagerank_spmv", 5)])
 def test_ranks_of_all_orders(spark, graph, name, rounds):
     nodes, out = {x for e in graph for x in e}, defaultdict(int)
     for a, _ in graph:
@@ -116,7 +116,7 @@ def test_components_of_all_orders(spark, graph):
             if least[a] != least[b]:
                 least[a] = least[b] = min(least[a], least[b])
                 changed = True
-    assert dict(_rows(spark, "U07_components_whole")) == least
+    assert dict(_rows(spark, "U07_components")) == least
 
 
 def test_distances_of_nations(spark, duck):
@@ -128,7 +128,7 @@ def test_distances_of_nations(spark, duck):
             for b in nodes:
                 if a != b:
                     far[a, b] = min(far[a, b], far[a, k] + far[k, b])
-    made = {(a, b): d for a, b, d in _rows(spark, "G06_all_pairs_whole")}
+    made = {(a, b): d for a, b, d in _rows(spark, "G06_all_pairs")}
     assert made.keys() == {e for e, d in far.items() if d < math.inf}
     assert all(math.isclose(d, far[e]) for e, d in made.items())
 
@@ -167,7 +167,7 @@ def test_least_squares_of_the_whole_matrix(spark, duck):
 def test_substrings_are_searched_in_every_page(spark, duck):
     """Beyond the pages up to 40, and the queries' own."""
     [(n,)] = duck.sql("SELECT count(*) FROM pages WHERE length(url) >= 9").fetchall()
-    made = _rows(spark, "J17_substring_matches_whole")
+    made = _rows(spark, "J17_substring_matches")
     assert max(r[1] for r in made) >= 40
     assert {(q, q) for q in range(12)} <= {r[:2] for r in made}
     assert len({r[1] for r in made}) <= n
@@ -175,7 +175,7 @@ def test_substrings_are_searched_in_every_page(spark, duck):
 
 def test_blocks_of_all_events(spark, duck):
     [(n,)] = duck.sql("SELECT max(event_id) // 16 FROM events").fetchall()
-    assert {r[0] for r in _rows(spark, "G22_block_match_whole")} >= set(range(1, n - 1))
+    assert {r[0] for r in _rows(spark, "G22_block_match")} >= set(range(1, n - 1))
 
 
 def test_cycles_of_all_parts(spark):
@@ -183,4 +183,4 @@ def test_cycles_of_all_parts(spark):
     folder = TESTDATA.replace("sf0.001", "sf0.01")
     n = spark.read.parquet(f"{folder}/part.parquet").count()
     assert n > 300
-    assert QUERIES["S11_profiler_cycles_whole"](spark, folder).count() == n
+    assert QUERIES["S11_profiler_cycles"](spark, folder).count() == n
