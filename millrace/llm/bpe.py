@@ -19,7 +19,6 @@ import json
 import struct
 import sys
 import unicodedata
-import uuid
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -32,7 +31,7 @@ from pyspark.sql import types as T
 from millrace.llm.textwords import string_bytes
 
 #: Words kept by a Python worker; the memory they take is bounded by this.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Bytes of text that one slice of an Arrow batch may hold.
 SLICE_BYTES = 2_000_000
 _NOT_WHITE = regex.compile("[\x1c-\x1f]").search
@@ -195,8 +194,7 @@ class Encoder:
 
     def __init__(self, tables: BpeTables):
         self.tables = tables
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # pieces, and what stands between white space
         self.find = regex.compile(self.PATTERN).findall
         self.letters = dict(enumerate(byte_letters()))
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(tables.specials, key=len, reverse=True)) + ")") if tables.specials else None
@@ -225,17 +223,16 @@ class Encoder:
         text = text.lower()
         if _NOT_WHITE(text):  # split() would part the text there, the pattern does not
             return self._pieces(text)
-        found, runs = text.split(), self.runs
+        found, known = text.split(), self.words
         try:
-            return b"".join([runs[w] for w in found])
+            return b"".join([known[w] for w in found])
         except KeyError:
-            for known in (runs, self.words):
-                if len(known) > CACHE_WORDS:
-                    known.clear()
+            if len(known) > CACHE_WORDS:
+                known.clear()
             for w in found:
-                if w not in runs and len(w) <= 64:
-                    runs[w] = self._pieces(w)
-            return b"".join([runs[w] if len(w) <= 64 else self._pieces(w) for w in found])
+                if w not in known and len(w) <= 64:
+                    known[w] = self._pieces(w)
+            return b"".join([known[w] if len(w) <= 64 else self._pieces(w) for w in found])
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; no text gives none."""
@@ -260,15 +257,11 @@ class Encoder:
         return out, np.concatenate([[0], stop])[ends]
 
 
-_here: dict[str, Encoder] = {}
-
-
-def _encoder(shared, key: str) -> Encoder:
-    """The encoder of one call, kept by a worker over its tasks with the words it has met."""
-    if key not in _here:
-        _here.clear()
-        _here[key] = Encoder(shared.value)
-    return _here[key]
+def _encoder(tables: BpeTables) -> Encoder:
+    """The encoder of some tables, kept with them and the words it has met: a worker lets go of it when it lets go of the broadcast."""
+    if "encoder" not in tables.cache:
+        tables.cache["encoder"] = Encoder(tables)
+    return tables.cache["encoder"]
 
 
 def slices(texts: pa.Array, size: int = SLICE_BYTES):
@@ -295,11 +288,11 @@ def encode_column(df: DataFrame, tables: BpeTables, text: str = "text", keep: tu
     if clash := {n for n, _ in more} & set(keep):
         raise ValueError(f"columns {sorted(clash)} are made here")
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, t) for n, t in more)])
-    shared, name = df.sparkSession.sparkContext.broadcast(tables), uuid.uuid4().hex
+    shared = df.sparkSession.sparkContext.broadcast(tables)
     n_keep = len(keep)
 
     def run(batches):
-        enc = _encoder(shared, name)
+        enc = _encoder(shared.value)
         for batch in batches:
             texts = batch.column(n_keep)
             for a, b in slices(texts):
