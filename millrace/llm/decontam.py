@@ -174,7 +174,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
         yield part
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, within: int | None = None) -> DataFrame:
     """Documents' ``keep`` columns with n_words, spans (array of first, end, item_id; words, end exclusive) and item_ids.
 
     ``docs`` and ``benchmark`` may have any further columns; ``keep`` must not
@@ -183,6 +183,8 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
     with a null id shares are hit, but it is not among item_ids; repeated rows on either side count once per document row, and items
     with equal ids are one item.  An empty benchmark finds nothing.  Equality
     of words is that of 64-bit hashes, checked word by word over the span.
+    ``within`` says that the text is that field of the first kept column, a
+    struct, so that it is not sent twice.
     """
     if not 1 <= gram <= span:
         raise ValueError("a gram has from 1 to span words")
@@ -197,7 +199,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(n_keep)
+            texts = batch.column(n_keep) if within is None else batch.column(0).field(within)
             for w in words(texts, _TABLE):
                 found: list[list] = [[] for _ in range(w.last - w.first)]
                 for one in shared:
@@ -209,7 +211,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
                 cols += [pa.array(np.diff(w.bounds)), pa.array([[{"first": a, "end": b, "item_id": i} for a, b, i in x] for x in spans], arrow_kind), pa.array([sorted({i for *_, i in x if i is not None}) for x in spans], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, *([text] if within is None else [])).mapInArrow(run, schema)
 
 
 def hit_words(spans: str = "spans"):
@@ -229,8 +231,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """All columns, whatever their names, of the documents that are not contaminated; one narrow pass."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    return contamination(rows, benchmark, ("row",), text="text", **options).where(~F.col("contaminated")).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"))
+    return contamination(rows, benchmark, ("row",), within=docs.columns.index(text), **options).where(~F.col("contaminated")).select("row.*")
 
 
 def digest(ids: list[str]) -> str:

@@ -142,17 +142,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([x for x, _ in made], pa.binary()), pa.array([y for _, y in made], pa.binary())], names=["k", "y", "ids", "counts"])
 
     rows = sorted(chosen.mapInArrow(run, schema).toLocalIterator(), key=lambda r: (r.k, r.ids))
-    bags = [(np.frombuffer(r.ids, "<u4").astype(np.int64), np.frombuffer(r.counts, "<u2"), int(r.y > 0)) for r in rows]
+    bags = [(np.frombuffer(r.ids, "<u4"), np.frombuffer(r.counts, "<u2"), int(r.y > 0)) for r in rows]
     if len({y for *_, y in bags}) < 2:
         return QualityModel(np.zeros(1 << bits, np.float32), 0.0, bits)
     return fit(bags, bits, **options)
 
 
-def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text", name: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",), text: str = "text", name: str = "score", within: int | None = None) -> DataFrame:
     """``keep`` and the probability of class 1 of every whole text: one narrow pass.
 
     A null or empty text has no features and gets the model's prior.  Columns
     besides ``text`` never reach the score.  Repeated rows are scored each.
+    ``within`` says that the text is that field of the first kept column, a
+    struct, so that it is not sent twice.
     """
     if name in keep:
         raise ValueError(f"column {name} is made here")
@@ -163,12 +165,12 @@ def score(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id
     def run(batches):
         for batch in batches:
             out = [np.zeros(0)]
-            for _, _, part, borders in row_slices(batch.column(n_keep)):
+            for _, _, part, borders in row_slices(batch.column(n_keep) if within is None else batch.column(0).field(within)):
                 out.append(shared.value.log_odds(part, borders))
             z = np.clip(np.concatenate(out), -500, 500)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], pa.array(1 / (1 + np.exp(-z)))], names=schema.names)
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, *([text] if within is None else [])).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
@@ -187,5 +189,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text:
     """All columns, whatever their names, of the documents that the classifier accepts."""
     part = F.crc32(F.col("doc_id").cast("string")) % 4
     model = train(docs, labels, text=text, where=part != 2, **options)
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    return score(rows, model, ("row",), "text").where(F.col("score") >= threshold).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"))
+    return score(rows, model, ("row",), within=docs.columns.index(text)).where(F.col("score") >= threshold).select("row.*")
