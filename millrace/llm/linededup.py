@@ -6,7 +6,7 @@ are ordered by rarity, and each line is indexed under its first n - ceil(t n) +
 keys only.  Lines that share such a key meet if their lengths, what is left from
 that key on (position), and a bitmap of their keys allow a similarity of t.
 Every pair of similarity t passes these filters at its first shared key; survivors
-are verified on all keys.  Lines that share the key before as well met there (32 bits of
+are verified on the 64-bit hashes of all their words.  Lines that share the key before as well met there (32 bits of
 it are compared: a pair can be lost with probability 2**-32).  A line goes if an earlier line (by document id, then
 line number) matches it.
 
@@ -39,7 +39,7 @@ BEFORE = 3
 #: Distinct words from which a line has a second half of its bitmap.
 LONG = 64
 #: Rows that are broadcast to the documents, at most; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def _words(line: Column) -> Column:
@@ -67,9 +67,20 @@ def rarity(docs: DataFrame, text: str) -> Column:
     return F.lit(bytes(table))
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, h, no, line) of the documents with an id; h tells apart rows that share it."""
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
+def _few(table: DataFrame, lists: str) -> bool:
+    """Whether ``table`` and the members of its lists are few enough to broadcast."""
+    return (table.agg(F.sum(F.size(lists) + 1)).first()[0] or 0) <= BROADCAST_ROWS
+
+
+def _lines(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """(id, h, no, line) and ``more`` of the documents with an id; h tells apart rows that share it."""
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), *more, F.posexplode(F.split(text, "\n")).alias("no", "line"))
+
+
+def _hashed(lines: DataFrame) -> DataFrame:
+    """``lines`` with k for the line: the distinct words' hashes."""
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    return lines.select(*(c for c in lines.columns if c != "line"), F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("k"))
 
 
 def _keyed(lines: DataFrame, rank: Column) -> DataFrame:
@@ -79,9 +90,7 @@ def _keyed(lines: DataFrame, rank: Column) -> DataFrame:
         level = F.ascii(F.substring(rank, _counter(h) + 1, F.lit(1)).cast("string"))
         return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    rest = [c for c in lines.columns if c != "line"]
-    return lines.select(*rest, F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("k")).select(*rest, F.sort_array(F.transform("k", number)).alias("k"))
+    return _hashed(lines).withColumn("k", F.sort_array(F.transform("k", number)))
 
 
 def _digest() -> list[Column]:
@@ -162,18 +171,17 @@ def _pair(earlier: str, later: str) -> list[Column]:
     return [c.alias(n) for c, n in zip((F.col(f"{earlier}_id"), no(earlier), F.col(f"{later}_id"), no(later)), _PAIR, strict=True)]
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, rank: Column, key: str, text: str, percent: int) -> DataFrame:
-    """Those of ``pairs`` (stored; a is earlier) whose word sets have 100 * intersection >= percent * union: distinct (id, no, d1) of b, stored."""
-    ends = stored(pairs.select(F.col("a_id").alias("id"), F.col("a_no").alias("no")).unionByName(pairs.select(F.col("b_id").alias("id"), F.col("b_no").alias("no"))).distinct(), "ends")
-    few = ends.count() <= BROADCAST_ROWS
-    shared = (lambda t: F.broadcast(t)) if few else (lambda t: t)
-    some = docs.join(shared(ends.select(F.col("id").alias("_id")).distinct()), F.col(key).cast("bigint") == F.col("_id"), "left_semi")
-    lines = _lines(some, key, text).join(shared(ends), ["id", "no"], "left_semi").select("id", "no", "line")
-    lines = stored(_keyed(lines, rank).distinct(), "keys")
-    side = lambda s: lines.select(F.col("id").alias(f"{s}_id"), F.col("no").alias(f"{s}_no"), F.col("k").alias(s))
+def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """Those of ``pairs`` (stored; a is earlier) whose word sets have 100 * intersection >= percent * union: distinct (id, no, h) of b, stored."""
+    ends = pairs.select(F.col("a_id").alias("id"), F.col("a_no").alias("no")).unionByName(pairs.select(F.col("b_id").alias("id"), F.col("b_no").alias("no"))).distinct()
+    ends = stored(ends.groupBy(F.col("id").alias("_id")).agg(F.collect_set("no").alias("_nos")), "ends")  # of each document, its lines
+    some = docs.join(F.broadcast(ends) if _few(ends, "_nos") else ends, F.col(key).cast("bigint") == F.col("_id"))
+    lines = _lines(some, key, text, "_nos").where(F.array_contains("_nos", F.col("no"))).select("id", "h", "no", "line")
+    lines = stored(_hashed(lines).distinct(), "hashes")
+    side = lambda s: lines.select(F.col("id").alias(f"{s}_id"), F.col("no").alias(f"{s}_no"), F.col("h").alias(f"{s}_h"), F.col("k").alias(s))
     both = pairs.join(side("a"), ["a_id", "a_no"]).join(side("b"), ["b_id", "b_no"])
     common = F.size(F.array_intersect("a", "b"))
-    gone = both.where((100 + percent) * common >= percent * (F.size("a") + F.size("b"))).select(F.col("b_id").alias("id"), F.col("b_no").alias("no"), F.xxhash64("b").alias("d1")).distinct()
+    gone = both.where((100 + percent) * common >= percent * (F.size("a") + F.size("b"))).select(F.col("b_id").alias("id"), F.col("b_no").alias("no"), F.col("b_h").alias("h")).distinct()
     gone = stored(gone, "gone")
     discard(ends, lines)
     return gone
@@ -186,7 +194,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     prefix = F.slice("k", F.lit(1), n - F.ceil(n * percent / F.lit(100)).cast("int") + 1)
     keyed = _keyed(_lines(docs, key, text), rank)
     keyed = stored(keyed.select("id", "h", "no", *_digest(), n.alias("n"), _bitmap(1).alias("b"), _bitmap(0).alias("b2"), prefix.alias("prefix")), "lines")
-    first = F.min(F.struct("id", "no", "n", "b", "b2", "prefix")).alias("first")
+    first = F.min(F.struct("id", "no", "h", "n", "b", "b2", "prefix")).alias("first")
     classes = stored(keyed.groupBy("d1", "d2").agg(first, F.count("*").alias("m")).where(F.col("first.n") >= max(least_words, 1)).select("d1", "d2", "m", "first.*"), "classes")
     lines = stored(keyed.select("id", "h", "no", "d1", "d2"), "digests")
     discard(keyed)
@@ -199,12 +207,12 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     before = F.array(F.first(line).over(order), *(F.lag(line, k).over(order) for k in range(1, BEFORE + 1)))
     met = some.withColumn("y", before).withColumn("y", F.explode(F.array_distinct("y"))).select(*(F.col(c).alias(f"x_{c}") for c in _LINE), *(F.col(f"y.{c}").alias(f"y_{c}") for c in _LINE))
     tried = stored(met.where(f"{_earlier('y', 'x')} AND {_fits(percent, 'x', 'y')}").select(*_pair("y", "x")).distinct(), "pairs")
-    gone = _confirmed(docs, tried, rank, key, text, percent)
+    gone = _confirmed(docs, tried, key, text, percent)
 
     # every line that matched none of these with all earlier lines of its keys
     few = gone.count() <= BROADCAST_ROWS
     matched = gone.withColumn("open", zero)
-    entries = _entries(classes.join(F.broadcast(matched) if few else matched, ["id", "no", "d1"], "left").withColumn("open", F.coalesce("open", one)), percent)
+    entries = _entries(classes.join(F.broadcast(matched) if few else matched, ["id", "no", "h"], "left").withColumn("open", F.coalesce("open", one)), percent)
     whole = " AND ".join(f"{c} IS NOT NULL" for c in entries.columns)
     entries = entries.where(whole).repartition("token")  # neither side's plan differs below this exchange, so it is made once
     # a filter that the optimizer does not move below the exchange: rand() is below 1
@@ -214,11 +222,11 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     rest = _as(searched, "x").join(_as(entries, "y"), "token").where(meets).select(*_pair("y", "x")).distinct()
     rest = stored(rest.join(tried, list(_PAIR), "left_anti"), "rest")
     discard(tried)
-    gone = gone.unionByName(_confirmed(docs, rest, rank, key, text, percent)).withColumn("matched", F.lit(True))
+    gone = gone.unionByName(_confirmed(docs, rest, key, text, percent)).withColumn("matched", F.lit(True))
     discard(rest)
 
     # of a class that matched all lines go, of another one all but the first
-    several = classes.select("id", "no", "d1", "d2", "m").join(gone, ["id", "no", "d1"], "left").where("m > 1 OR matched")
+    several = classes.select("id", "no", "h", "d1", "d2", "m").join(gone, ["id", "no", "h"], "left").where("m > 1 OR matched")
     several = several.select("d1", "d2", F.col("id").alias("_id"), F.col("no").alias("_no"), "matched")
     return lines.select("id", "h", "no", "d1", "d2").join(several, ["d1", "d2"]).where("matched OR id <> _id OR no <> _no").select("id", "h", "no")
 
@@ -237,9 +245,8 @@ def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     if clash := {"_id", "_h", "_gone"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are used here")
     gone = stored(repeated_lines(docs, key, text, percent).groupBy("id", "h").agg(F.collect_set("no").alias("_gone")), "by_doc")
-    rows = gone.agg(F.sum(F.size("_gone"))).first()[0] or 0
     gone = gone.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "_gone")
-    joined = docs.join(F.broadcast(gone) if rows <= BROADCAST_ROWS else gone, (F.col(key).cast("bigint") == F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left")
+    joined = docs.join(F.broadcast(gone) if _few(gone, "_gone") else gone, (F.col(key).cast("bigint") == F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     out = joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left))
     if count:
