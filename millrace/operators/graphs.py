@@ -127,23 +127,40 @@ def coloured(edges: DataFrame, both_ends: bool = False, max_rounds: int = 200) -
 
 
 def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(src, dst, weight) of a minimum spanning forest by rounds of least outgoing edges; equal weights are ordered by the ends."""
+    """(src, dst, weight) of a minimum spanning forest by rounds of least outgoing edges; equal weights are ordered by the ends.
+
+    After a round components are nodes and only the least edge between two of
+    them is kept, so the graph shrinks with each round.
+    """
     e = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-    e = cut(e)
+    left = cut(e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct("weight", "src", "dst").alias("e")))
     tree = None
-    label = cut(_nodes(e).withColumn("component", F.col("node")))
     for _ in range(max_rounds):
-        a = label.select(F.col("node").alias("src"), F.col("component").alias("ca"))
-        b = label.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
-        crossing = cut(e.join(a, "src").join(b, "dst").where("ca <> cb"))
-        if not crossing.take(1):
+        if not left.take(1):
             return tree if tree is not None else e.limit(0)
-        edge = F.struct("weight", "src", "dst")
-        ends = crossing.select(F.col("ca").alias("c"), edge.alias("e")).unionByName(crossing.select(F.col("cb").alias("c"), edge.alias("e")))
-        best = ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct()
-        tree = cut((best if tree is None else tree.unionByName(best)).distinct().select("src", "dst", "weight"))
-        merged = connected_components(tree.select("src", "dst"))
-        label = cut(_nodes(e).join(merged, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+        ends = left.select(F.col("a").alias("c"), "e", F.col("b").alias("to")).unionByName(left.select(F.col("b").alias("c"), "e", F.col("a").alias("to")))
+        best = cut(ends.groupBy("c").agg(F.min(F.struct("e", "to")).alias("m")).select("c", "m.to", "m.e"))
+        now = best.select("e.*").distinct().select("src", "dst", "weight")
+        tree = cut(now if tree is None else tree.unionByName(now))
+        label = _roots(best)
+        a = label.select(F.col("c").alias("a"), F.col("root").alias("ra"))
+        b = label.select(F.col("c").alias("b"), F.col("root").alias("rb"))
+        met = left.join(a, "a").join(b, "b").where("ra <> rb")
+        left = cut(met.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min("e").alias("e")))
+    raise RuntimeError("spanning_forest: not settled")
+
+
+def _roots(best: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(c, root) of trees given by (c, to), whose only cycles are two nodes that name each other: the lesser is the root, and paths are halved each round."""
+    up = best.select("c", F.col("to").alias("root"))
+    mutual = best.select(F.col("to").alias("c"), F.col("c").alias("root"), F.lit(True).alias("both"))
+    label = cut(up.join(mutual, ["c", "root"], "left").select("c", F.when(F.col("both") & (F.col("c") < F.col("root")), F.col("c")).otherwise(F.col("root")).alias("root")))
+    for _ in range(max_rounds):
+        above = label.select(F.col("c").alias("root"), F.col("root").alias("above"))
+        new = cut(label.join(above, "root").select("c", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
+        label = new.select("c", "root")
+        if not new.where("moved").take(1):
+            return label
     raise RuntimeError("spanning_forest: not settled")
 
 

@@ -264,3 +264,11 @@ def test_polling_ends(spark):
     busy = spark.createDataFrame([("running",)], "status string")
     with pytest.raises(TimeoutError):
         S.polled(spark, lambda: busy, every_seconds=0.01, timeout=0.05)
+
+
+def test_spanning_forest_shrinks_its_graph(spark, monkeypatch):
+    """A long chain and ties: the very edges of Kruskal's order, without labelling the whole forest anew each round."""
+    monkeypatch.delattr(G, "connected_components")
+    edges = [(k, k + 1, float(k)) for k in range(70)] + [(100 + a, 100 + b, 1.0) for a in range(6) for b in range(a)] + [(7, 7, 0.0)]
+    made = {tuple(r) for r in G.spanning_forest(spark.createDataFrame(edges, "src long, dst long, weight double")).collect()}
+    assert made == {(k, k + 1, float(k)) for k in range(70)} | {(100, 100 + k, 1.0) for k in range(1, 6)}
