@@ -71,20 +71,56 @@ def up_down(starts: DataFrame, ends: DataFrame, key: str, at: str, name: str = "
 def in_flight(starts: DataFrame, ends: DataFrame, key: str, at: str) -> DataFrame:
     """(key, opened, closed) of each start with the first end of its key at or after it (null while open); an end without a start is no row.
 
-    On streams with watermarks this is a stream-stream join on the key; in a batch the earliest end is taken.
+    On streams with watermarks this is a stream-stream join on the key; in a batch one window goes over
+    each key's starts and ends, latest first.
     """
-    s = starts.select(key, F.col(at).alias("opened"))
-    e = ends.select(key, F.col(at).alias("closed"))
-    joined = s.join(e, (s[key] == e[key]) & (e.closed >= s.opened), "left").select(s[key], "opened", "closed")
-    return joined.groupBy(key, "opened").agg(F.min("closed").alias("closed"))
+    s = starts.select(key, F.col(at).alias("_at"), F.lit(0).alias("_side")).distinct()
+    e = ends.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, F.col(at).alias("_at"), F.lit(1).alias("_side"))
+    w = Window.partitionBy(key).orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    next_end = F.last(F.when(F.col("_side") == 1, F.col("_at")), ignorenulls=True).over(w)
+    both = s.unionByName(e).withColumn("closed", next_end).where("_side = 0")
+    return both.select(key, F.col("_at").alias("opened"), F.when(F.col("_at").isNotNull(), F.col("closed")).alias("closed"))
+
+
+#: Amounts below this are added as decimals, whose sums have no rounding.
+_EXACT = 1e9
 
 
 def idle_attribution(idle: DataFrame, open_: DataFrame, width: float) -> DataFrame:
-    """(key, total): each idle amount counts in full for every interval [opened, closed) that is open at its time."""
-    from millrace.operators.relational import range_join
+    """(key, total): each idle amount counts in full for every interval [opened, closed) that is open at its time.
 
-    pairs = range_join(idle, open_, "at", "opened", "closed", width).where("at < closed")
-    return pairs.groupBy("key").agg(F.sum("amount").alias("total"))
+    No interval meets an amount: a key's total is the sum, over its intervals, of
+    what was idle before they close less what was idle before they open.  Sums
+    over time are taken inside blocks of ``width``, and over one row a block.
+    """
+    x = F.col("amount").cast("double")
+    finite, plain = F.abs(x) < float("inf"), F.abs(x) < _EXACT
+    exact = x.cast("decimal(38,14)")
+    parts = {
+        "n": F.lit(1),
+        "known": x.isNotNull().cast("int"),
+        "nan": F.coalesce(F.isnan(x), F.lit(False)).cast("int"),
+        "up": F.coalesce(x == float("inf"), F.lit(False)).cast("int"),
+        "down": F.coalesce(x == float("-inf"), F.lit(False)).cast("int"),
+        "exact": F.coalesce(F.when(plain, exact), F.lit(0).cast("decimal(38,14)")),
+        "rest": F.coalesce(F.when(plain, x - exact.cast("double")).when(finite, x), F.lit(0.0)),
+    }
+    spans = open_.where("opened < closed")
+    marks = spans.select("key", F.col("opened").alias("at"), F.lit(-1).alias("sign")).unionByName(spans.select("key", F.col("closed").alias("at"), F.lit(1).alias("sign")))
+    marks = marks.groupBy("key", "at").agg(F.sum("sign").alias("sign")).where("sign <> 0")
+    amounts = idle.where("at IS NOT NULL").select("at", *(c.alias(k) for k, c in parts.items()))
+    rows = marks.withColumn("_side", F.lit(0)).unionByName(amounts.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    rows = rows.withColumn("_b", F.floor(F.col("at") / width).cast("bigint"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("_b").agg(*(F.sum(k).alias(k) for k in parts)).select("_b", *(F.sum(k).over(before).alias(f"_{k}") for k in parts))
+    inside = Window.partitionBy("_b").orderBy("at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    at_marks = rows.select("key", "sign", "_side", "_b", *(F.sum(k).over(inside).alias(k) for k in parts)).where("_side = 0").join(blocks, "_b")
+    zero = {k: F.lit(0).cast("decimal(38,14)") if k == "exact" else F.lit(0) for k in parts}
+    so_far = {k: F.coalesce(F.col(k), zero[k]) + F.coalesce(F.col(f"_{k}"), zero[k]) for k in parts}
+    signed = {k: F.when(F.col("sign") == 1, c).when(F.col("sign") == -1, -c).otherwise(c * F.col("sign")) for k, c in so_far.items()}
+    sums = at_marks.groupBy("key").agg(*(F.sum(c).alias(k) for k, c in signed.items())).where("n > 0")
+    total = F.when(F.col("known") > 0, F.when((F.col("nan") > 0) | ((F.col("up") > 0) & (F.col("down") > 0)), float("nan")).when(F.col("up") > 0, float("inf")).when(F.col("down") > 0, float("-inf")).otherwise(F.col("exact").cast("double") + F.col("rest")))
+    return sums.select("key", total.alias("total"))
 
 
 def locality_runs(df: DataFrame, bank: str, order: list[str], row: str, at: str) -> DataFrame:

@@ -272,3 +272,31 @@ def test_spanning_forest_shrinks_its_graph(spark, monkeypatch):
     edges = [(k, k + 1, float(k)) for k in range(70)] + [(100 + a, 100 + b, 1.0) for a in range(6) for b in range(a)] + [(7, 7, 0.0)]
     made = {tuple(r) for r in G.spanning_forest(spark.createDataFrame(edges, "src long, dst long, weight double")).collect()}
     assert made == {(k, k + 1, float(k)) for k in range(70)} | {(100, 100 + k, 1.0) for k in range(1, 6)}
+
+
+def test_idle_attribution_meets_no_interval_with_an_amount(spark):
+    """Against counting pair by pair: equal times, open ends, keys open twice, and amounts that are null or not finite."""
+    rng = np.random.default_rng(2)
+    starts = [(int(k), int(a)) for k, a in zip(rng.integers(0, 5, 60), rng.integers(0, 200, 60), strict=True)] + [(6, None), (7, 150)]
+    ends = [(int(k), int(a)) for k, a in zip(rng.integers(0, 5, 40), rng.integers(0, 200, 40), strict=True)] + [(7, 155)]
+    idle = [(int(a), float(x)) for a, x in zip(rng.integers(0, 145, 200), rng.normal(size=200).round(2), strict=True)] + [(None, 9.0), (151, None), (20, 5e11)]
+    df = lambda rows, kind: spark.createDataFrame(rows, kind)
+    open_ = S.in_flight(df(starts, "k long, at long"), df(ends, "k long, at long"), "k", "at")
+    want = {(k, a): min((e for q, e in ends if a is not None and q == k and e >= a), default=None) for k, a in starts}
+    assert sorted(map(repr, ((r.k, r.opened, r.closed) for r in open_.collect()))) == sorted(repr((k, a, c)) for (k, a), c in want.items())
+    for extra in ([], [(100, float("inf"))]):
+        made = S.idle_attribution(df(idle + extra, "at long, amount double"), open_.select(F.col("k").alias("key"), "opened", "closed"), 32)
+        total: dict = {}
+        for (k, a), c in want.items():
+            for t, x in idle + extra:
+                if c is not None and t is not None and a <= t < c:
+                    total.setdefault(k, []).append(x)
+        got = {r.key: r.total for r in made.collect()}
+        assert got.keys() == total.keys()
+        assert got[7] is None
+        for k, xs in total.items():
+            known = [x for x in xs if x is not None]
+            assert (got[k] is None) == (not known)
+            assert not known or math.isclose(got[k], math.fsum(known), rel_tol=1e-12, abs_tol=1e-9), k
+    plan = open_._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
