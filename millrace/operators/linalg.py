@@ -7,6 +7,7 @@ combines before it is dealt out.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,9 +69,91 @@ def nearest_centre(points: DataFrame, centres: DataFrame, idx: str, vector: str,
 
 
 def kmeans(points: DataFrame, idx: str, vector: str, k: int, threshold: int = 0, max_rounds: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(centres, assignment): the k points of least id are the first centres; an empty cluster keeps its centre; ends when at most ``threshold`` points change."""
+    """(centres, assignment): the k points of least id are the first centres; an empty cluster keeps its centre; ends when at most ``threshold`` points change.
+
+    Points are packed once; a round is one pass over them that gives sums a
+    centre for each task, and compares the nearest of these centres with the
+    nearest of the last ones, so nothing is joined or written.  Points with null,
+    non-finite or missing components and repeated ids go the way by joins.
+    """
     rows = points.select(idx, F.transform(vector, lambda x: x.cast("double")).alias(vector))
     centres = cut(rows.orderBy(idx).limit(k).select((F.row_number().over(Window.orderBy(idx)) - 1).alias("centre"), F.col(vector).alias("position")))
+    first = [r["position"] for r in centres.orderBy("centre").toLocalIterator()]
+    d = len(first[0]) if first and first[0] else 0
+    fits = (F.size(vector) == d) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150))
+    seen = rows.agg(F.count("*").alias("n"), F.count_distinct(idx).alias("ids"), F.count(F.when(fits, 1)).alias("fit")).first()
+    if d == 0 or len(first) * d > _SENT or not seen["n"] == seen["ids"] == seen["fit"]:
+        return _kmeans_joined(rows, centres, idx, vector, threshold, max_rounds)
+
+    def pack(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 2048):
+                part = batch.column(0).slice(a, 2048)
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(part.flatten(), np.float64).tobytes()], pa.binary())], names=["x"])
+
+    def passed(now, last):
+        def run(batches):
+            changed, n, total = 0, np.zeros(len(now), np.int64), np.zeros(now.shape)
+            for batch in batches:
+                for raw in batch.column(0):
+                    x = np.frombuffer(raw.as_buffer(), np.float64).reshape(-1, d)
+                    label = _nearest(x, now)[0]
+                    changed += 0 if last is None else int((label != _nearest(x, last)[0]).sum())
+                    n += np.bincount(label, minlength=len(now))
+                    for c in np.unique(label):
+                        total[c] += x[label == c].sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([changed]), *(pa.array([z.tobytes()], pa.binary()) for z in (n, total))], names=["changed", "n", "total"])
+
+        got = packed.mapInArrow(run, "changed bigint, n binary, total binary").collect()
+        return sum(r["changed"] for r in got), sum(np.frombuffer(r["n"], np.int64) for r in got), sum(np.frombuffer(r["total"]).reshape(now.shape) for r in got)
+
+    def assigned(now):
+        def run(batches):
+            for batch in batches:
+                label, d2 = _nearest(np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, d), now)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(label.astype(np.int32)), pa.array(d2)], names=[idx, "centre", "d2"])
+
+        return cut(rows.mapInArrow(run, f"`{idx}` {rows.schema[idx].dataType.simpleString()}, centre int, d2 double"))
+
+    conf = rows.sparkSession.conf
+    size = conf.get(_ARROW_ROWS)
+    packed = cut(rows.select(vector).mapInArrow(pack, "x binary"))
+    now, last, settled_ = np.array(first, np.float64), None, False
+    conf.set(_ARROW_ROWS, 8)
+    try:
+        for _ in range(max_rounds):
+            changed, n, total = passed(now, last)
+            settled_ = last is not None and changed <= threshold
+            if settled_:
+                break
+            last, now = now, np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], now)
+    finally:
+        conf.set(_ARROW_ROWS, size)
+    made = rows.sparkSession.createDataFrame([(c, x.tolist()) for c, x in enumerate(now)], "centre int, position array<double>")
+    return made, assigned(now if settled_ or last is None else last)
+
+
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Components of all centres that a task may give for its sums.
+_SENT = 100_000
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, squared distance) of the nearest centre of each row, the first of equals; components are added in their order."""
+    columns = np.ascontiguousarray(x.T)
+    label, best = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    for c, centre in enumerate(centres):
+        d2 = np.zeros(len(x))
+        for column, v in zip(columns, centre, strict=True):
+            off = column - v
+            d2 += off * off
+        nearer = d2 < best
+        label[nearer], best[nearer] = c, d2[nearer]
+    return label, best
+
+
+def _kmeans_joined(rows: DataFrame, centres: DataFrame, idx: str, vector: str, threshold: int, max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The rounds of ``kmeans`` by joins, in any vectors."""
     before = None
     for _ in range(max_rounds):
         now = cut(nearest_centre(rows, centres, idx, vector))

@@ -300,3 +300,21 @@ def test_idle_attribution_meets_no_interval_with_an_amount(spark):
             assert not known or math.isclose(got[k], math.fsum(known), rel_tol=1e-12, abs_tol=1e-9), k
     plan = open_._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_kmeans_takes_one_pass_a_round(spark, monkeypatch):
+    """Against numpy; only vectors with gaps go the way by joins."""
+    x = np.random.default_rng(3).normal(size=(300, 4))
+    joined, ways = L._kmeans_joined, []
+    monkeypatch.setattr(L, "_kmeans_joined", lambda *a: ways.append(1) or joined(*a))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    _, assigned = L.kmeans(df, "id", "v", 3)
+    c, last, label = x[:3].copy(), None, None
+    while last is None or (label != last).any():
+        c, last = (c if label is None else np.array([x[label == k].mean(axis=0) for k in range(3)])), label
+        label = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        last = label - 1 if last is None else last
+    assert [r.centre for r in assigned.orderBy("id").collect()] == label.tolist()
+    assert not ways
+    L.kmeans(df.limit(6).unionByName(spark.createDataFrame([(900, None)], df.schema)), "id", "v", 2)
+    assert ways == [1]
