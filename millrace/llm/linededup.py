@@ -5,10 +5,10 @@ often the word's counter was hit over the whole corpus), then 56 of a hash.  Key
 are ordered by rarity, and each line is indexed under its first n - ceil(t n) + 1
 keys only.  Lines that share such a key meet if their lengths, what is left from
 that key on (position), and a bitmap of their keys allow a similarity of t.
-Every pair of similarity t passes these filters at its first shared key; survivors
-are verified on the 64-bit hashes of all their words.  Lines that share the key before as well met there (32 bits of
-it are compared: a pair can be lost with probability 2**-32).  A line goes if an earlier line (by document id, then
-line number) matches it.
+Every pair of similarity t passes these filters at its first shared key.  Lines
+that share the key before as well met there (32 bits of it are compared: a pair can
+be lost with probability 2**-32).  A line goes if an earlier line (by document id,
+then line number) matches it.
 
 Lines with equal sets (equal 128-bit digests of the sorted keys) are one class, so
 copies never meet; lines too short to be similar to any other set (up to three
@@ -17,9 +17,12 @@ line stands in the band of lengths that holds its own, and where longer partners
 may lie in the next band, in that one as well; two lines meet in the higher of
 their bands.
 
-A line is compared first with the earliest line of a key and band and with the few
-just before it; only lines that match none of these are compared with all others.
-So a word with many near-equal lines costs their number, not its square.
+Pairs are never made into rows.  Semi joins keep the entries that pass the filters
+with an earlier line of their key, and the entries these pass with; both get the
+64-bit hashes of all their words, and one more semi join, on the words, says which
+later lines match.  Each search ends at its first hit, so rows grow with the lines
+of a key.  A line that matches nothing is still compared with all earlier lines of
+its keys.
 """
 
 from __future__ import annotations
@@ -27,17 +30,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.store import discard, stored
+from millrace.llm.store import discard, held_joins, stored
 
 PERCENT = 80
 #: Lines with fewer distinct words (blank ones) stay.
 MIN_WORDS = 1
 #: log2 of the counters that order words by rarity: a table of one byte each, of fixed size.
 COUNTER_BITS = 18
-#: Lines just before a line, among those of a key, that it is compared with at first.
-BEFORE = 3
 #: Distinct words from which a line has a second half of its bitmap.
-LONG = 64
+LONG = 96
 #: Rows that are broadcast to the documents, at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -52,19 +53,15 @@ def _counter(h: Column) -> Column:
     return h.bitwiseAND(F.lit((1 << COUNTER_BITS) - 1)).cast("int")
 
 
-def rarity(docs: DataFrame, text: str) -> Column:
-    """A binary literal: of each counter, 1 to 127 as its count's logarithm grows, counted over all words of all rows."""
-    part = 64
-    line = docs.select(F.explode(F.split(text, "\n")).alias("line"))
-    words = line.select(F.explode(F.split(F.lower("line"), " ")).alias("w"))
-    counts = words.groupBy(_counter(F.xxhash64("w")).alias("c")).agg(F.count("*").alias("n"))
-    level = F.least(F.lit(127), 1 + F.floor(4 * F.log2("n"))).cast("int")
-    held = counts.groupBy(F.floor(F.col("c") / part).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("c") % part, level))).alias("m"))
-    run = F.transform(F.sequence(F.lit(0), F.lit(part - 1)), lambda k: F.char(F.coalesce(F.element_at("m", k), F.lit(1))))
-    table = bytearray(b"\1") * (1 << COUNTER_BITS)
-    for r in held.select("part", F.array_join(run, "").alias("run")).toLocalIterator():  # 64 counters a row
-        table[r["part"] * part : (r["part"] + 1) * part] = r["run"].encode("latin-1")
-    return F.lit(bytes(table))
+def rarity(lines: DataFrame) -> Column:
+    """An array literal: of each counter, 0 (no hit) to 127 as its count's logarithm grows, counted over all words of all ``lines``."""
+    counts = lines.select(F.explode("k").alias("w")).groupBy(_counter(F.col("w")).alias("c")).agg(F.count("*").alias("n"))
+    level = F.least(F.lit(127), 1 + F.floor(4 * F.log2("n"))).cast("bigint")
+    eight = counts.groupBy(F.shiftright("c", 3).alias("at")).agg(F.bit_or(F.call_function("shiftleft", level, F.col("c").bitwiseAND(F.lit(7)) * 8)).alias("levels"))
+    table = bytearray(1 << COUNTER_BITS)
+    for r in eight.toLocalIterator():  # 8 counters a row
+        table[r["at"] * 8 : (r["at"] + 1) * 8] = r["levels"].to_bytes(8, "little")
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")  # the optimizer makes it a literal
 
 
 def _few(table: DataFrame, lists: str) -> bool:
@@ -84,29 +81,27 @@ def _hashed(lines: DataFrame) -> DataFrame:
 
 
 def _keyed(lines: DataFrame, rank: Column) -> DataFrame:
-    """``lines`` with k for the line: the distinct words' keys, rarest first."""
+    """``lines`` with their hashes in k made into keys, rarest first."""
 
     def number(h: Column) -> Column:
-        level = F.ascii(F.substring(rank, _counter(h) + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.shiftleft(F.get(rank, _counter(h)).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return _hashed(lines).withColumn("k", F.sort_array(F.transform("k", number)))
+    return lines.withColumn("k", F.sort_array(F.transform("k", number)))
 
 
 def _digest() -> list[Column]:
     return [F.xxhash64("k").alias("d1"), F.xxhash64(F.lit(1), "k").alias("d2")]
 
 
-def _bitmap(half: int) -> Column:
-    """64 bits, one for each key whose bit 6 is ``half``, chosen by its six lowest bits: k words that two sets do not share differ in k bits of both halves at most.
+def _bitmap(half: bool = False) -> Column:
+    """64 bits, each flipped once for every key whose six lowest bits name it: k words that two sets do not share differ in k bits at most.
 
-    The second half is made for sets of ``LONG`` words and more, which fill the first.
+    ``half`` takes the keys whose bit 6 is set only, of sets of ``LONG`` words and
+    more; what the whole bitmap differs in from it is that of the other keys.
     """
-    one = F.lit(1).cast("bigint")
-    sixth = lambda k: F.shiftright(k, 6) if half else F.bitwise_not(F.shiftright(k, 6))
-    bit = lambda k: F.call_function("shiftleft", sixth(k).bitwiseAND(one), k.bitwiseAND(F.lit(63)).cast("int"))
-    keys = F.col("k") if half else F.slice("k", F.lit(1), F.when(F.size("k") >= LONG, F.size("k")).otherwise(0))
-    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseOR(bit(k)))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
+    keys = F.filter(F.slice("k", F.lit(1), F.when(F.size("k") >= LONG, F.size("k")).otherwise(0)), lambda k: k.bitwiseAND(F.lit(64)) > 0) if half else F.col("k")
+    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(bit(k)))
 
 
 def _band(n: Column) -> Column:
@@ -114,30 +109,27 @@ def _band(n: Column) -> Column:
     return F.length(F.bin(n.cast("bigint")))
 
 
-def _entries(classes: DataFrame, percent: int, keys: str = "TRUE") -> DataFrame:
+def _entries(classes: DataFrame, percent: int) -> DataFrame:
     """(token, id, np, ni, b, b2): a row for each prefix key of each class, and one more where a longer partner lies in the next band.
 
     token is of the key and the band; np holds the line's number and 32 bits of the
-    key before this one; ni holds the length, the key's place, and in its two lowest
-    bits whether the line is open and whether the band is not its own.  ``keys``
-    (SQL over ``key``) may leave out some keys.
+    key before this one; ni holds the length, the key's place, and in its lowest bit
+    whether the band is not its own.
     """
     n = F.col("n")
     own, upper = _band(n), _band(F.floor(n * 100 / percent))
-    prefix = n - F.ceil(n * percent / 100) + 1
     shorter = n - F.ceil(n * (2 * percent) / (100 + percent)) + 1  # as the shorter one of a pair
     long_enough = classes.where(f"100 * n >= {percent} * (n + 1)")  # a set of n words is n / (n + 1) similar to another one at most
     whole = lambda c: c.cast("bigint")
 
-    def spread(rows: DataFrame, length: Column, band: Column, extra: int) -> DataFrame:
-        at = F.slice("prefix", F.lit(1), length.cast("int"))
-        pairs = F.arrays_zip(at.alias("key"), F.slice(F.concat(F.array(F.xxhash64("id", "no")), at), F.lit(1), F.size(at)).alias("last"))
-        at = rows.select("id", "no", "n", "b", "b2", "open", band.alias("band"), F.posexplode(pairs).alias("i", "at")).select("*", "at.key", "at.last").where(keys)
-        ni = F.shiftleft(whole(F.col("n")), 32).bitwiseOR(F.shiftleft(whole(F.col("i")), 2)).bitwiseOR(F.col("open") * 2 + whole(F.lit(extra)))
-        np = F.shiftleft(whole(F.col("no")), 32).bitwiseOR(F.col("last").bitwiseAND(whole(F.lit(0xFFFFFFFF))))
-        return at.select(F.xxhash64("key", "band").alias("token"), "id", np.alias("np"), ni.alias("ni"), "b", "b2")
-
-    return spread(long_enough, prefix, own, 0).unionByName(spread(long_enough.where(upper > own), shorter, upper, 1))
+    rows = long_enough.select("id", "no", "n", "b", "b2", "prefix", own.alias("own"), F.when(upper > own, shorter).otherwise(0).cast("int").alias("more"))
+    at = rows.select("*", F.posexplode(F.concat("prefix", F.slice("prefix", F.lit(1), F.col("more")))).alias("at", "key"))
+    extra = F.col("at") >= F.size("prefix")
+    at = at.select("id", "no", "n", "b", "b2", "prefix", "key", extra.cast("int").alias("extra"), (F.col("at") - F.when(extra, F.size("prefix")).otherwise(0)).alias("i"), (F.col("own") + extra.cast("int")).alias("band"))
+    last = F.when(F.col("i") == 0, F.xxhash64("id", "no")).otherwise(F.get("prefix", F.col("i") - 1))
+    ni = F.shiftleft(whole(F.col("n")), 32).bitwiseOR(F.shiftleft(whole(F.col("i")), 2)).bitwiseOR(whole(F.col("extra")))
+    np = F.shiftleft(whole(F.col("no")), 32).bitwiseOR(last.bitwiseAND(whole(F.lit(0xFFFFFFFF))))
+    return at.select(F.xxhash64("key", "band").alias("token"), "id", np.alias("np"), ni.alias("ni"), "b", "b2")
 
 
 _LINE = ("id", "np", "ni", "b", "b2")
@@ -145,7 +137,7 @@ _LINE = ("id", "np", "ni", "b", "b2")
 
 def _as(rows: DataFrame, side: str) -> DataFrame:
     """token and the line's columns, named after the side of a join that they are on."""
-    return rows.select("token", *(F.col(c).alias(f"{side}_{c}") for c in _LINE))
+    return rows.select("token", *(F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "token"))
 
 
 def _earlier(x: str, y: str) -> str:
@@ -159,71 +151,61 @@ def _fits(percent: int, x: str, y: str) -> str:
     length = f"100 * least({n(x)}, {n(y)}) >= {percent} * greatest({n(x)}, {n(y)})"
     position = f"{100 + percent} * least({left(x)}, {left(y)}) >= {percent} * ({n(x)} + {n(y)})"
     bitmap = f"{100 + percent} * bit_count({x}_b ^ {y}_b) <= {100 - percent} * ({n(x)} + {n(y)})"
-    both = f"(least({n(x)}, {n(y)}) < {LONG} OR {100 + percent} * (bit_count({x}_b ^ {y}_b) + bit_count({x}_b2 ^ {y}_b2)) <= {100 - percent} * ({n(x)} + {n(y)}))"
+    halves = f"bit_count({x}_b2 ^ {y}_b2) + bit_count({x}_b ^ {y}_b ^ {x}_b2 ^ {y}_b2)"
+    both = f"(least({n(x)}, {n(y)}) < {LONG} OR {100 + percent} * ({halves}) <= {100 - percent} * ({n(x)} + {n(y)}))"
     return f"({length} AND {position} AND {bitmap} AND {both})"
 
 
-_PAIR = ("a_id", "a_no", "b_id", "b_no")
+def _candidates(entries: DataFrame, meets: str) -> DataFrame:
+    """``entries`` that may match an earlier line at their token (later) and those that may be that line, stored: a row each, not a row a pair."""
+    # neither side's plan differs below this exchange, so it is made once
+    entries = entries.where(" AND ".join(f"{c} IS NOT NULL" for c in entries.columns)).repartition("token")
+    plain = lambda rows, side: rows.select("token", *(F.col(f"{side}_{c}").alias(c) for c in _LINE))
+    later = plain(_semi(_as(entries, "x"), _as(entries, "y"), meets), "x").repartition("token", "id")
+    earlier = plain(_semi(_as(entries, "y"), _as(later, "x"), meets), "y")
+    with held_joins(later.sparkSession):
+        return stored(later.withColumn("later", F.lit(True)).unionByName(earlier.withColumn("later", F.lit(False))), "candidates")
 
 
-def _pair(earlier: str, later: str) -> list[Column]:
-    no = lambda s: F.shiftright(f"{s}_np", 32).cast("int")
-    return [c.alias(n) for c, n in zip((F.col(f"{earlier}_id"), no(earlier), F.col(f"{later}_id"), no(later)), _PAIR, strict=True)]
+def _semi(left: DataFrame, right: DataFrame, meets: str) -> DataFrame:
+    """Rows of ``left`` for which a row of ``right`` has the same token and ``meets``: the search ends at the first."""
+    right = right.withColumnRenamed("token", "_token")
+    return left.join(right, F.expr(f"token = _token AND {meets}"), "left_semi")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """Those of ``pairs`` (stored; a is earlier) whose word sets have 100 * intersection >= percent * union: distinct (id, no, h) of b, stored."""
-    ends = pairs.select(F.col("a_id").alias("id"), F.col("a_no").alias("no")).unionByName(pairs.select(F.col("b_id").alias("id"), F.col("b_no").alias("no"))).distinct()
-    ends = stored(ends.groupBy(F.col("id").alias("_id")).agg(F.collect_set("no").alias("_nos")), "ends")  # of each document, its lines
+def _confirmed(docs: DataFrame, found: DataFrame, meets: str, key: str, text: str, percent: int) -> DataFrame:
+    """(id, no, h) of the later lines of ``found`` of which an earlier one has 100 * intersection >= percent * union, distinct."""
+    no = F.shiftright("np", 32).cast("int").alias("no")
+    ends = stored(found.select("id", no).groupBy(F.col("id").alias("_id")).agg(F.collect_set("no").alias("_nos")), "ends")  # of each document, its lines
     some = docs.join(F.broadcast(ends) if _few(ends, "_nos") else ends, F.col(key).cast("bigint") == F.col("_id"))
     lines = _lines(some, key, text, "_nos").where(F.array_contains("_nos", F.col("no"))).select("id", "h", "no", "line")
     lines = stored(_hashed(lines).distinct(), "hashes")
-    side = lambda s: lines.select(F.col("id").alias(f"{s}_id"), F.col("no").alias(f"{s}_no"), F.col("h").alias(f"{s}_h"), F.col("k").alias(s))
-    both = pairs.join(side("a"), ["a_id", "a_no"]).join(side("b"), ["b_id", "b_no"])
-    common = F.size(F.array_intersect("a", "b"))
-    gone = both.where((100 + percent) * common >= percent * (F.size("a") + F.size("b"))).select(F.col("b_id").alias("id"), F.col("b_no").alias("no"), F.col("b_h").alias("h")).distinct()
-    gone = stored(gone, "gone")
+    held = found.withColumn("no", no).join(lines, ["id", "no"])
+    x, y = _as(held.where("later"), "x"), _as(held.where("NOT later"), "y")
+    similar = f"{100 + percent} * size(array_intersect(x_k, y_k)) >= {percent} * (size(x_k) + size(y_k))"
+    gone = stored(_semi(x, y, f"{meets} AND {similar}").select(F.col("x_id").alias("id"), F.col("x_no").alias("no"), F.col("x_h").alias("h")).distinct(), "gone")
     discard(ends, lines)
     return gone
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = MIN_WORDS) -> DataFrame:
     """(id, h, no) of every line that goes; h is the hash of its document's text."""
-    rank = rarity(docs, text)
+    words = stored(_hashed(_lines(docs, key, text)), "words")
     n = F.size("k")
     prefix = F.slice("k", F.lit(1), n - F.ceil(n * percent / F.lit(100)).cast("int") + 1)
-    keyed = _keyed(_lines(docs, key, text), rank)
-    keyed = stored(keyed.select("id", "h", "no", *_digest(), n.alias("n"), _bitmap(1).alias("b"), _bitmap(0).alias("b2"), prefix.alias("prefix")), "lines")
+    keyed = _keyed(words, rarity(words))
+    keyed = stored(keyed.select("id", "h", "no", *_digest(), n.alias("n"), _bitmap().alias("b"), _bitmap(half=True).alias("b2"), prefix.alias("prefix")), "lines")
+    discard(words)
     first = F.min(F.struct("id", "no", "h", "n", "b", "b2", "prefix")).alias("first")
     classes = stored(keyed.groupBy("d1", "d2").agg(first, F.count("*").alias("m")).where(F.col("first.n") >= max(least_words, 1)).select("d1", "d2", "m", "first.*"), "classes")
     lines = stored(keyed.select("id", "h", "no", "d1", "d2"), "digests")
     discard(keyed)
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-
-    # every line with the earliest one of its key and band, and with those just before it, for half of the keys: near-equal lines share many
-    some = _entries(classes.withColumn("open", zero), percent, "key & 64 = 0")
-    order = Window.partitionBy("token").orderBy("id", "np")
-    line = F.struct(*_LINE)
-    before = F.array(F.first(line).over(order), *(F.lag(line, k).over(order) for k in range(1, BEFORE + 1)))
-    met = some.withColumn("y", before).withColumn("y", F.explode(F.array_distinct("y"))).select(*(F.col(c).alias(f"x_{c}") for c in _LINE), *(F.col(f"y.{c}").alias(f"y_{c}") for c in _LINE))
-    tried = stored(met.where(f"{_earlier('y', 'x')} AND {_fits(percent, 'x', 'y')}").select(*_pair("y", "x")).distinct(), "pairs")
-    gone = _confirmed(docs, tried, key, text, percent)
-
-    # every line that matched none of these with all earlier lines of its keys
-    few = gone.count() <= BROADCAST_ROWS
-    matched = gone.withColumn("open", zero)
-    entries = _entries(classes.join(F.broadcast(matched) if few else matched, ["id", "no", "h"], "left").withColumn("open", F.coalesce("open", one)), percent)
-    whole = " AND ".join(f"{c} IS NOT NULL" for c in entries.columns)
-    entries = entries.where(whole).repartition("token")  # neither side's plan differs below this exchange, so it is made once
-    # a filter that the optimizer does not move below the exchange: rand() is below 1
-    searched = entries.where(F.col("ni").bitwiseAND(F.lit(2)) + F.rand(0) >= 2)
+
     # two lines whose keys before this one are equal have met there
     meets = f"(x_ni & y_ni & 1) = 0 AND {_earlier('y', 'x')} AND ((x_np ^ y_np) & 4294967295L) <> 0 AND {_fits(percent, 'x', 'y')}"
-    rest = _as(searched, "x").join(_as(entries, "y"), "token").where(meets).select(*_pair("y", "x")).distinct()
-    rest = stored(rest.join(tried, list(_PAIR), "left_anti"), "rest")
-    discard(tried)
-    gone = gone.unionByName(_confirmed(docs, rest, key, text, percent)).withColumn("matched", F.lit(True))
-    discard(rest)
+    found = _candidates(_entries(classes, percent), meets)
+    gone = _confirmed(docs, found, meets, key, text, percent).withColumn("matched", F.lit(True))
+    discard(found)
 
     # of a class that matched all lines go, of another one all but the first
     several = classes.select("id", "no", "h", "d1", "d2", "m").join(gone, ["id", "no", "h"], "left").where("m > 1 OR matched")

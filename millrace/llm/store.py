@@ -50,3 +50,12 @@ def _set(spark: SparkSession, name: str, value):
 def batches_of(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows for what runs inside: bounds the memory of wide rows on both sides of Python."""
     return _set(spark, _BATCH, rows)
+
+
+_RULES = "spark.sql.optimizer.excludedRules"
+
+
+def held_joins(spark: SparkSession):
+    """Semi joins of what runs inside stay above the exchange that their sides share, so it is made once."""
+    rules = filter(None, [spark.conf.get(_RULES, None), "org.apache.spark.sql.catalyst.optimizer.PushDownLeftSemiAntiJoin"])
+    return _set(spark, _RULES, ",".join(rules))

@@ -298,6 +298,29 @@ def test_line_dedup_of_short_lines(spark):
     assert left == {1: (rows[0][1], 0), 2: (" \na b c d\npage 2", 3), 3: ("\nnew", 4)}
 
 
+def test_line_dedup_makes_no_row_a_pair(spark, monkeypatch):
+    """300 lines that are all nearly similar to each other, some of them similar: no table between holds their pairs."""
+    rng = random.Random(3)
+    base = [f"word{k}" for k in range(60)]
+    lines = []
+    for j in range(300):
+        at = set(rng.sample(range(60), 4))
+        lines.append((j, " ".join(f"new{j}x{k}" if k in at else w for k, w in enumerate(base))))
+    rows = spark.createDataFrame(lines, "doc_id long, text string")
+    held, keep = {}, linededup.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        held[name] = max(held.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "stored", counted)
+    made = {r.doc_id: [r.text] for r in linededup.without_repeated_lines(rows).collect()}
+    expected = brute_lines(lines)
+    assert made == expected and 0 < sum(t == [""] for t in expected.values()) < 300
+    assert max(held.values()) < 2 * 300 * 13, held  # two rows at most for each of a line's 13 keys
+
+
 def test_line_dedup_of_nothing(spark):
     assert linededup.without_repeated_lines(spark.createDataFrame([], EMPTY)).count() == 0
     with pytest.raises(ValueError):
