@@ -33,7 +33,7 @@ from millrace.llm.textwords import string_bytes
 #: Words kept by a Python worker; the memory they take is bounded by this.
 CACHE_WORDS = 200_000
 #: Bytes of text that one slice of an Arrow batch may hold.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 _NOT_WHITE = regex.compile("[\x1c-\x1f]").search
 _END = 0x1000  # added to the code point of a unit that ends a word
 

@@ -52,6 +52,17 @@ def batches_of(spark: SparkSession, rows: int):
     return _set(spark, _BATCH, rows)
 
 
+def keep_batches_small(spark: SparkSession, rows: int) -> None:
+    """Arrow batches of at most ``rows`` rows in this session from now on, or fewer where it says so.
+
+    For steps that return a narrow pass which the caller runs: the setting must
+    still hold then.  Results do not depend on it.
+    """
+    now = int(spark.conf.get(_BATCH))
+    if not 0 < now <= rows:
+        spark.conf.set(_BATCH, rows)
+
+
 _RULES = "spark.sql.optimizer.excludedRules"
 
 

@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -446,3 +447,23 @@ def test_feistel_is_a_permutation(spark):
     one = spark.range(39 * 181).select((F.col("id") / 181).cast("bigint").alias("a"), (F.col("id") % 181).alias("b"))
     out = one.select(pseudonyms._feistel("k", F.lit("t"), F.lit(39), F.lit(181), F.col("a"), F.col("b")).alias("f")).select("f.*").distinct()
     assert out.where("a BETWEEN 0 AND 38 AND b BETWEEN 0 AND 180").count() == 39 * 181
+
+
+def test_pipeline_keeps_arrow_batches_small(spark, docs):
+    import corpus_pipeline
+    from millrace.llm.store import batches_of
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with batches_of(spark, 10_000):
+        some = spark.range(2000).selectExpr("id AS doc_id", "'a b' AS text").coalesce(1)
+        made = corpus_pipeline.as_tokens(spark, some, "")
+        assert int(spark.conf.get(name)) == corpus_pipeline.BATCH_ROWS
+        assert made.count() == 2000
+    with batches_of(spark, 7):  # a smaller setting stays
+        corpus_pipeline.as_tokens(spark, some, "")
+        assert int(spark.conf.get(name)) == 7
+
+
+def test_bpe_slices_are_small():
+    texts = pa.array(["x" * 100_000] * 12)
+    assert list(bpe.slices(texts)) == [(0, 5), (5, 10), (10, 12)]
