@@ -27,6 +27,9 @@ its keys.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,22 +49,23 @@ BROADCAST_ROWS = 1_000_000
 def _words(line: Column) -> Column:
     """Lower-cased words between white space, some of them empty."""
     low = F.lower(line)
-    return F.when(line.rlike("[\\t\\x0b\\f\\r]"), F.split(low, r"\s+")).otherwise(F.split(low, " "))
+    odd = reduce(or_, (F.contains(line, F.lit(c)) for c in "\t\x0b\f\r"))  # much cheaper than a pattern
+    return F.when(odd, F.split(low, r"\s+")).otherwise(F.split(low, " "))
 
 
 def _counter(h: Column) -> Column:
-    return h.bitwiseAND(F.lit((1 << COUNTER_BITS) - 1)).cast("int")
+    return h.bitwiseAND(F.lit((1 << COUNTER_BITS) - 1).cast("bigint"))
 
 
 def rarity(lines: DataFrame) -> Column:
     """An array literal: of each counter, 0 (no hit) to 127 as its count's logarithm grows, counted over all words of all ``lines``."""
     counts = lines.select(F.explode("k").alias("w")).groupBy(_counter(F.col("w")).alias("c")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(127), 1 + F.floor(4 * F.log2("n"))).cast("bigint")
-    eight = counts.groupBy(F.shiftright("c", 3).alias("at")).agg(F.bit_or(F.call_function("shiftleft", level, F.col("c").bitwiseAND(F.lit(7)) * 8)).alias("levels"))
+    eight = counts.groupBy(F.shiftright("c", 3).alias("at")).agg(F.bit_or(F.call_function("shiftleft", level, (F.col("c").bitwiseAND(F.lit(7)) * 8).cast("int"))).alias("levels"))
     table = bytearray(1 << COUNTER_BITS)
     for r in eight.toLocalIterator():  # 8 counters a row
         table[r["at"] * 8 : (r["at"] + 1) * 8] = r["levels"].to_bytes(8, "little")
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")  # the optimizer makes it a literal
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # the optimizer makes it a literal
 
 
 def _few(table: DataFrame, lists: str) -> bool:
@@ -76,15 +80,15 @@ def _lines(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
 
 def _hashed(lines: DataFrame) -> DataFrame:
     """``lines`` with k for the line: the distinct words' hashes."""
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    return lines.select(*(c for c in lines.columns if c != "line"), F.array_remove(hashes, F.xxhash64(F.lit(""))).alias("k"))
+    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
+    return lines.select(*(c for c in lines.columns if c != "line"), F.array_except(hashes, F.array(F.xxhash64(F.lit("")))).alias("k"))
 
 
 def _keyed(lines: DataFrame, rank: Column) -> DataFrame:
     """``lines`` with their hashes in k made into keys, rarest first."""
 
     def number(h: Column) -> Column:
-        return F.shiftleft(F.get(rank, _counter(h)).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.shiftleft(F.get(rank, _counter(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return lines.withColumn("k", F.sort_array(F.transform("k", number)))
 

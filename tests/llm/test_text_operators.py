@@ -467,3 +467,11 @@ def test_pipeline_keeps_arrow_batches_small(spark, docs):
 def test_bpe_slices_are_small():
     texts = pa.array(["x" * 100_000] * 12)
     assert list(bpe.slices(texts)) == [(0, 5), (5, 10), (10, 12)]
+
+
+def test_line_dedup_parts_words_without_a_pattern(spark):
+    odd = ["a b\tc", "a\x0bb\fc\rd", "\t", " a  a ", "Ä b c", ""]
+    made = linededup._hashed(spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "id int, line string"))
+    assert "RLIKE" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = [len({w for w in re.split("[ \t\n\x0b\f\r]+" if re.search("[\t\x0b\f\r]", x) else " ", x.lower()) if w}) for x in odd]
+    assert [len(r.k) for r in made.orderBy("id").collect()] == want
