@@ -30,8 +30,10 @@ from pyspark.sql import types as T
 
 from millrace.llm.textwords import string_bytes
 
-#: Words kept by a Python worker; the memory they take is bounded by this.
-CACHE_WORDS = 200_000
+#: Words kept by a Python worker, those met again lately and others; the memory they take is bounded by this.
+CACHE_WORDS = 400_000
+#: Pairs of entries of which a Python worker keeps whether they are compatible.
+CACHE_PAIRS = 200_000
 #: Bytes of text that one slice of an Arrow batch may hold.
 SLICE_BYTES = 500_000
 _NOT_WHITE = regex.compile("[\x1c-\x1f]").search
@@ -54,7 +56,7 @@ class BpeTables:
     shorter: list[int]  # the longest usable entry that is a proper prefix, or -1
     length: list[int]  # units of an entry
     units: dict[str, int]
-    automaton: object
+    automaton: object  # of entries of two units and more
     specials: dict[str, int]
     blob: np.ndarray  # texts of all entries, each after one blank
     offset: np.ndarray  # where the entry's blank stands in blob
@@ -92,6 +94,17 @@ class BpeTables:
             else:
                 return True
 
+    def meets(self, left: int, right: int) -> bool:
+        """``compatible`` for entries next to each other in a word, kept: rare words consist of common pairs."""
+        pairs = self.cache.setdefault("pairs", {})
+        pair = left << 32 | right
+        known = pairs.get(pair)
+        if known is None:
+            if len(pairs) >= CACHE_PAIRS:
+                pairs.clear()
+            known = pairs[pair] = self.compatible(left, right)
+        return known
+
     @property
     def parts_list(self) -> list:
         made = self.cache.get("")
@@ -102,30 +115,38 @@ class BpeTables:
     def encode_units(self, word: str) -> list[int]:
         """Ids of a word already written in units."""
         n = len(word)
-        longest = [-1] * n
+        last = n - 1
+        # of the entries that start at one unit the automaton gives the longest first: it is written over the others
+        longest = dict([*self.automaton.iter(word[::-1])][::-1])
         length, shorter = self.length, self.shorter
-        for end, entry in self.automaton.iter(word[::-1]):
-            at = n - 1 - end
-            if longest[at] < 0 or length[entry] > length[longest[at]]:
-                longest[at] = entry
+        kept, meets, units = self.cache.setdefault("pairs", {}).get, self.meets, self.units
         out: list[int] = []
-        open_at = [True] * (n + 1)
-        at, entry = 0, longest[0]
+        dead: set[int] = set()
+        at, entry, before = 0, -1, -1
+        fresh = True
         while at < n:
-            before = out[-1] if out else -1
+            if fresh:
+                entry = longest.get(last - at, -1)
+                if entry < 0:
+                    entry = units.get(word[at], -1)
             while entry >= 0:
                 end = at + length[entry]
-                if open_at[end] and (before < 0 or self.compatible(before, entry)):
-                    break
+                if end not in dead:
+                    if before < 0:
+                        break
+                    met = kept(before << 32 | entry)
+                    if met or (met is None and meets(before, entry)):
+                        break
                 entry = shorter[entry]
             if entry >= 0:
                 out.append(entry)
-                at += length[entry]
-                entry = longest[at] if at < n else -1
+                before, at, fresh = entry, end, True
             else:
-                open_at[at] = False
-                entry = out.pop()
+                dead.add(at)
+                fresh = False
+                entry = out.pop()  # taken up again: its end is a dead end now
                 at -= length[entry]
+                before = out[-1] if out else -1
         return out
 
 
@@ -178,7 +199,8 @@ def load_tables(path: str) -> BpeTables:
     automaton = ahocorasick.Automaton()
     ids = {w: k for k, w in enumerate(written) if usable[k]}
     for w, k in ids.items():
-        automaton.add_word(w[::-1], k)
+        if len(w) > 1 or not pairs:  # a unit alone is looked up
+            automaton.add_word(w[::-1], k)
     automaton.make_automaton()
     out.shorter = [next((ids[w[:e]] for e in range(len(w) - 1, 0, -1) if w[:e] in ids), -1) for w in written]
     out.units = ids
@@ -195,26 +217,34 @@ class Encoder:
     def __init__(self, tables: BpeTables):
         self.tables = tables
         self.words: dict[str, bytes] = {}  # pieces, and what stands between white space
+        self.older: dict[str, bytes] = {}  # those before them, of which the ones met again return
         self.find = regex.compile(self.PATTERN).findall
         self.letters = dict(enumerate(byte_letters()))
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(tables.specials, key=len, reverse=True)) + ")") if tables.specials else None
         self.special_ids = {k: np.uint32(v).tobytes() for k, v in tables.specials.items()}
 
     def word(self, word: str) -> bytes:
-        units = word.encode().decode("latin-1").translate(self.letters)
+        units = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
         ids = self.tables.encode_units(units[:-1] + chr(ord(units[-1]) + _END))
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _pieces(self, text: str) -> bytes:
-        out, words = [], self.words
-        for w in self.find(text):
-            ids = words.get(w)
+    def _kept(self, word: str, made) -> bytes:
+        """Ids of a word that ``words`` may not hold: from the older ones, or made and kept."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.older.get(word)
             if ids is None:
-                ids = self.word(w)
-                if len(w) <= 64:
-                    words[w] = ids
-            out.append(ids)
-        return b"".join(out)
+                ids = made(word)
+            if len(word) <= 64:
+                if len(self.words) >= CACHE_WORDS // 2:
+                    self.words, self.older = {}, self.words
+                self.words[word] = ids
+        return ids
+
+    def _pieces(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha():
+            return self.word(text)
+        return b"".join([self._kept(w, self.word) for w in self.find(text)])
 
     def _plain(self, text: str) -> bytes:
         """No piece holds white space, so what stands between white space is encoded, and kept, by itself."""
@@ -223,16 +253,11 @@ class Encoder:
         text = text.lower()
         if _NOT_WHITE(text):  # split() would part the text there, the pattern does not
             return self._pieces(text)
-        found, known = text.split(), self.words
-        try:
-            return b"".join([known[w] for w in found])
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            for w in found:
-                if w not in known and len(w) <= 64:
-                    known[w] = self._pieces(w)
-            return b"".join([known[w] if len(w) <= 64 else self._pieces(w) for w in found])
+        found = text.split()
+        out = list(map(self.words.get, found))
+        if None in out:
+            out = [self._kept(w, self._pieces) if ids is None else ids for w, ids in zip(found, out, strict=True)]
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; no text gives none."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import pickle
 import random
 import re
 
@@ -475,3 +476,21 @@ def test_line_dedup_parts_words_without_a_pattern(spark):
     assert "RLIKE" not in made._jdf.queryExecution().optimizedPlan().toString()
     want = [len({w for w in re.split("[ \t\n\x0b\f\r]+" if re.search("[\t\x0b\f\r]", x) else " ", x.lower()) if w}) for x in odd]
     assert [len(r.k) for r in made.orderBy("id").collect()] == want
+
+
+def test_bpe_keeps_pairs_and_words_met_again(tables, monkeypatch):
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    words = ["".join(rng.choice(["lan", "ch", "eit", "wh", "é", "ß", "the", "%", "or"]) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 80)
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 50_000, raising=False)
+    pairs, made = [], []
+    whole, word = bpe.BpeTables.compatible, bpe.Encoder.word
+    monkeypatch.setattr(bpe.BpeTables, "compatible", lambda self, left, right, *limit: pairs.append((left, right)) or whole(self, left, right, *limit))
+    monkeypatch.setattr(bpe.Encoder, "word", lambda self, w: made.append(w) or word(self, w))
+    fresh = bpe.Encoder(pickle.loads(pickle.dumps(tables)))
+    for a, b in zip(words[::2], words[1::2], strict=True):
+        assert fresh.encode(f"often {a} {b}") == np.array(tk.encode(f"often {a} {b}", add_special_tokens=False).ids, "<u4").tobytes()
+    assert len(pairs) == len(set(pairs))  # a pair is decided once, not once a word
+    assert made.count("often") == 1  # what is met again outlasts the cache's turn
+    assert len(fresh.words) + len(fresh.older) <= 80
