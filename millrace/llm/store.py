@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from contextlib import contextmanager
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators.iterate import scratch
@@ -70,3 +74,28 @@ def held_joins(spark: SparkSession):
     """Semi joins of what runs inside stay above the exchange that their sides share, so it is made once."""
     rules = filter(None, [spark.conf.get(_RULES, None), "org.apache.spark.sql.catalyst.optimizer.PushDownLeftSemiAntiJoin"])
     return _set(spark, _RULES, ",".join(rules))
+
+
+def give_back(spark: SparkSession) -> bool:
+    """Memory that the driver's Python and JVM have freed goes back to the system; whether both C libraries could be told.
+
+    Planning and compiling many queries leaves hundreds of MB in the allocators of
+    both processes, outside the JVM's heap, and they grow with every call.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library's
+    if trim is not None:
+        trim(0)
+    jvm = spark.sparkContext._jvm
+    jvm.java.lang.System.gc()
+    try:
+        # the server's own class is not open to reflection, its interface is
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)  # the command, its name, neither arguments nor their types
+        given[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given[1] = "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:  # a JVM without the command keeps what it has
+        return False
+    return trim is not None

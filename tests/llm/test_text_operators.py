@@ -494,3 +494,18 @@ def test_bpe_keeps_pairs_and_words_met_again(tables, monkeypatch):
     assert len(pairs) == len(set(pairs))  # a pair is decided once, not once a word
     assert made.count("often") == 1  # what is met again outlasts the cache's turn
     assert len(fresh.words) + len(fresh.older) <= 80
+
+
+def test_pipeline_gives_the_drivers_memory_back(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    given, give = [], corpus_pipeline.give_back
+    monkeypatch.setattr(corpus_pipeline, "give_back", lambda s: given.append(give(s)))
+    monkeypatch.setattr(corpus_pipeline, "keep_batches_small", lambda *_: 1 / 0)
+    for _, stage in corpus_pipeline.STAGES[3:]:
+        with pytest.raises(ZeroDivisionError):  # given back before anything else
+            stage(spark, docs, DATA)
+    assert given == [True, True]
+    monkeypatch.setattr(corpus_pipeline.linededup, "without_repeated_lines", lambda d: d)
+    corpus_pipeline.no_repeated_lines(spark, docs.withColumn("n_chars", F.length("text")), DATA)
+    assert given == [True] * 3
