@@ -33,7 +33,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.store import discard, held_joins, stored
+from millrace.llm.store import discard, held_joins, room_for_groups, stored
 
 PERCENT = 80
 #: Lines with fewer distinct words (blank ones) stay.
@@ -63,8 +63,9 @@ def rarity(lines: DataFrame) -> Column:
     level = F.least(F.lit(127), 1 + F.floor(4 * F.log2("n"))).cast("bigint")
     eight = counts.groupBy(F.shiftright("c", 3).alias("at")).agg(F.bit_or(F.call_function("shiftleft", level, (F.col("c").bitwiseAND(F.lit(7)) * 8).cast("int"))).alias("levels"))
     table = bytearray(1 << COUNTER_BITS)
-    for r in eight.toLocalIterator():  # 8 counters a row
-        table[r["at"] * 8 : (r["at"] + 1) * 8] = r["levels"].to_bytes(8, "little")
+    with room_for_groups(lines.sparkSession, COUNTER_BITS + 1):
+        for r in eight.toLocalIterator():  # 8 counters a row
+            table[r["at"] * 8 : (r["at"] + 1) * 8] = r["levels"].to_bytes(8, "little")
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # the optimizer makes it a literal
 
 

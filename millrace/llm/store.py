@@ -76,6 +76,11 @@ def held_joins(spark: SparkSession):
     return _set(spark, _RULES, ",".join(rules))
 
 
+def room_for_groups(spark: SparkSession, bits: int):
+    """Compiled aggregates of what runs inside keep up to 2 ** bits groups in their first, faster hash table."""
+    return _set(spark, "spark.sql.codegen.aggregate.fastHashMap.capacityBit", bits)
+
+
 def give_back(spark: SparkSession) -> bool:
     """Memory that the driver's Python and JVM have freed goes back to the system; whether both C libraries could be told.
 

@@ -509,3 +509,14 @@ def test_pipeline_gives_the_drivers_memory_back(spark, docs, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.linededup, "without_repeated_lines", lambda d: d)
     corpus_pipeline.no_repeated_lines(spark, docs.withColumn("n_chars", F.length("text")), DATA)
     assert given == [True] * 3
+
+
+def test_rarity_is_counted_in_the_fast_table(spark, monkeypatch):
+    name, held = "spark.sql.codegen.aggregate.fastHashMap.capacityBit", []
+    before = spark.conf.get(name, None)
+    rows = type(spark.range(0)).toLocalIterator
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", lambda self, *a, **b: held.append(spark.conf.get(name, None)) or rows(self, *a, **b))
+    found = linededup.rarity(spark.createDataFrame([([1, 2],), ([2],), ([2],)], "k array<long>"))
+    assert held == [str(linededup.COUNTER_BITS + 1)]  # every counter has room in it
+    assert spark.conf.get(name, None) == before
+    assert spark.range(1).select(F.slice(found, 1, 4).alias("x")).first().x == [0, 1, 7, 0]
