@@ -33,7 +33,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.store import discard, held_joins, room_for_groups, stored
+from millrace.llm.store import discard, held_generators, held_joins, room_for_groups, stored
 
 PERCENT = 80
 #: Lines with fewer distinct words (blank ones) stay.
@@ -76,7 +76,9 @@ def _few(table: DataFrame, lists: str) -> bool:
 
 def _lines(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     """(id, h, no, line) and ``more`` of the documents with an id; h tells apart rows that share it."""
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), *more, F.posexplode(F.split(text, "\n")).alias("no", "line"))
+    # made below the generator (see ``held_generators``): above it, whole texts would be copied and hashed for each line
+    whole = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), *more, F.split(text, "\n").alias("_lines"))
+    return whole.select("id", "h", *more, F.posexplode("_lines").alias("no", "line"))
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
@@ -89,7 +91,8 @@ def _keyed(lines: DataFrame, rank: Column) -> DataFrame:
     """``lines`` with their hashes in k made into keys, rarest first."""
 
     def number(h: Column) -> Column:
-        return F.shiftleft(F.get(rank, _counter(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        made = F.shiftleft(F.get(rank, _counter(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.coalesce(made, F.lit(0).cast("bigint"))  # never null, and known to be: else each number is sorted as an object
 
     return lines.withColumn("k", F.sort_array(F.transform("k", number)))
 
@@ -104,9 +107,10 @@ def _bitmap(half: bool = False) -> Column:
     ``half`` takes the keys whose bit 6 is set only, of sets of ``LONG`` words and
     more; what the whole bitmap differs in from it is that of the other keys.
     """
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
-    keys = F.filter(F.slice("k", F.lit(1), F.when(F.size("k") >= LONG, F.size("k")).otherwise(0)), lambda k: k.bitwiseAND(F.lit(64)) > 0) if half else F.col("k")
-    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(bit(k)))
+    low = lambda k, bits: k.bitwiseAND(F.lit(bits).cast("bigint"))
+    one = lambda k: F.shiftright(low(k, 64), 6) if half else F.lit(1).cast("bigint")
+    bits = F.aggregate("k", F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", one(k), low(k, 63).cast("int"))))
+    return F.when(F.size("k") >= LONG, bits).otherwise(F.lit(0).cast("bigint")) if half else bits
 
 
 def _band(n: Column) -> Column:
@@ -184,7 +188,8 @@ def _confirmed(docs: DataFrame, found: DataFrame, meets: str, key: str, text: st
     ends = stored(found.select("id", no).groupBy(F.col("id").alias("_id")).agg(F.collect_set("no").alias("_nos")), "ends")  # of each document, its lines
     some = docs.join(F.broadcast(ends) if _few(ends, "_nos") else ends, F.col(key).cast("bigint") == F.col("_id"))
     lines = _lines(some, key, text, "_nos").where(F.array_contains("_nos", F.col("no"))).select("id", "h", "no", "line")
-    lines = stored(_hashed(lines).distinct(), "hashes")
+    with held_generators(lines.sparkSession):
+        lines = stored(_hashed(lines).distinct(), "hashes")
     held = found.withColumn("no", no).join(lines, ["id", "no"])
     x, y = _as(held.where("later"), "x"), _as(held.where("NOT later"), "y")
     similar = f"{100 + percent} * size(array_intersect(x_k, y_k)) >= {percent} * (size(x_k) + size(y_k))"
@@ -195,7 +200,8 @@ def _confirmed(docs: DataFrame, found: DataFrame, meets: str, key: str, text: st
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, least_words: int = MIN_WORDS) -> DataFrame:
     """(id, h, no) of every line that goes; h is the hash of its document's text."""
-    words = stored(_hashed(_lines(docs, key, text)), "words")
+    with held_generators(docs.sparkSession):
+        words = stored(_hashed(_lines(docs, key, text)), "words")
     n = F.size("k")
     prefix = F.slice("k", F.lit(1), n - F.ceil(n * percent / F.lit(100)).cast("int") + 1)
     keyed = _keyed(words, rarity(words))

@@ -70,10 +70,19 @@ def keep_batches_small(spark: SparkSession, rows: int) -> None:
 _RULES = "spark.sql.optimizer.excludedRules"
 
 
+def _without_rule(spark: SparkSession, name: str):
+    rules = filter(None, [spark.conf.get(_RULES, None), f"org.apache.spark.sql.catalyst.optimizer.{name}"])
+    return _set(spark, _RULES, ",".join(rules))
+
+
 def held_joins(spark: SparkSession):
     """Semi joins of what runs inside stay above the exchange that their sides share, so it is made once."""
-    rules = filter(None, [spark.conf.get(_RULES, None), "org.apache.spark.sql.catalyst.optimizer.PushDownLeftSemiAntiJoin"])
-    return _set(spark, _RULES, ",".join(rules))
+    return _without_rule(spark, "PushDownLeftSemiAntiJoin")
+
+
+def held_generators(spark: SparkSession):
+    """Generators of what runs inside make what they take apart once: no filter beneath makes it again to leave out empty ones."""
+    return _without_rule(spark, "InferFiltersFromGenerate")
 
 
 def room_for_groups(spark: SparkSession, bits: int):

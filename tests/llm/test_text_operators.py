@@ -520,3 +520,39 @@ def test_rarity_is_counted_in_the_fast_table(spark, monkeypatch):
     assert held == [str(linededup.COUNTER_BITS + 1)]  # every counter has room in it
     assert spark.conf.get(name, None) == before
     assert spark.range(1).select(F.slice(found, 1, 4).alias("x")).first().x == [0, 1, 7, 0]
+
+
+def test_line_dedup_takes_a_text_apart_once(spark, monkeypatch):
+    """The text is split once, and hashed beneath the generator: once a document, not once a line."""
+    plans, keep = {}, linededup.stored
+
+    def planned(df, name):
+        plans[name] = df.select("*")._jdf.queryExecution().optimizedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(linededup, "stored", planned)
+    before = spark.conf.get("spark.sql.optimizer.excludedRules", None)
+    rows = spark.createDataFrame([(1, "a b c d e\n\nx"), (1, "a b c d e\n\nx"), (2, "a b c d f e\nx"), (3, None), (None, "x")], "doc_id long, text string").repartition(2)
+    made = linededup.without_repeated_lines(rows)
+    assert sorted(((r.doc_id, r.text) for r in made.collect()), key=str) == [(1, "a b c d e\n\nx")] * 2 + [(2, ""), (3, None), (None, "x")]
+    for name in ("words", "hashes"):
+        assert plans[name].count("split(text") == 1, name
+        assert 0 < plans[name].index("Generate posexplode") < plans[name].index("xxhash64(text"), name
+    assert spark.conf.get("spark.sql.optimizer.excludedRules", None) == before
+
+
+def test_line_dedup_keys_and_bitmaps(spark):
+    """Keys are known not to be null, so they are sorted as numbers; the bitmaps are those of a model."""
+    rng = random.Random(4)
+    words = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (0, 1, 95, 96, 300)]
+    table = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id int, k array<long>")
+    keyed = linededup._keyed(table, linededup.rarity(table))
+    assert keyed.schema["k"].dataType.containsNull is False
+    made = keyed.select("id", "k", linededup._bitmap().alias("b"), linededup._bitmap(half=True).alias("b2")).orderBy("id").collect()
+    for r in made:
+        assert r.k == sorted(r.k) and len(r.k) == len(words[r.id])
+        whole = half = 0
+        for k in r.k:
+            whole ^= 1 << (k & 63)
+            half ^= 1 << (k & 63) if k & 64 and len(r.k) >= linededup.LONG else 0
+        assert (r.b % (1 << 64), r.b2 % (1 << 64)) == (whole, half)
